@@ -37,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
 def no_clash(df: DataFrame, *names: str) -> str:
@@ -55,3 +55,18 @@ def no_clash(df: DataFrame, *names: str) -> str:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns; extra ones never reach an operator's inner steps."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def arrow_filter(df: DataFrame, column: str, keep) -> DataFrame:
+    """Rows of ``df`` for which ``keep`` says so, with their columns as they are.
+
+    ``keep`` gets the UTF-8 bytes of ``column`` for a slice of rows and returns as many
+    booleans. The verdict is taken beside the row, so no join is needed.
+    """
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array(keep(utf8(b.column(at))), pa.bool_()))
+
+    return arrow_map(df, run, df.schema)

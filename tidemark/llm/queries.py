@@ -19,7 +19,14 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import digest, scan_documents
+
+    return digest(scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op7_token_output": op7_token_output,
 }
 
