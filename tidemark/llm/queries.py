@@ -25,8 +25,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import fit_references, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_references(docs))
+
+
 QUERIES = {
     "op5_decontamination": op5_decontamination,
+    "op9_quality_rules": op9_quality_rules,
     "op7_token_output": op7_token_output,
 }
 
