@@ -19,6 +19,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontaminate import digest, scan_documents
 
@@ -33,6 +39,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op7_token_output": op7_token_output,
