@@ -19,6 +19,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -39,10 +45,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op7_token_output": op7_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM m""",
+}
