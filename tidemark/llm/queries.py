@@ -50,12 +50,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_references(docs))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import fit_filters, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_filters(docs))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_html_extraction": op4_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
     "op7_token_output": op7_token_output,
 }
 
