@@ -13,6 +13,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.exact_substrings import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_output import token_table
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op6_suffix_array": op6_suffix_array,
     "op7_token_output": op7_token_output,
 }
 
