@@ -24,14 +24,10 @@ _PAD = 120
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    """Bits needed by each id; 0 for 0."""
-    out = np.zeros(ids.shape, dtype=np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= (np.uint64(1) << np.uint64(step))
-        out[big] += step
-        rest[big] >>= np.uint64(step)
-    return out + (rest > 0).astype(np.uint8)
+    """Bits needed by each id; 0 for 0. Read off the exponent of a double, in halves so that none is rounded."""
+    high = ids >> np.uint64(32)
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1].astype(np.uint8) + np.uint8(32), low) if high.any() else low
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +61,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count, b = SELECTORS[s]
         p = 1 << (count.bit_length() - 1)
         w = windows[p]
-        top = np.maximum(w[:, :BLOCK], w[:, count - p : count - p + BLOCK])
-        best[top <= b] = s
+        if w.min() <= b:
+            top = np.maximum(w[:, :BLOCK], w[:, count - p : count - p + BLOCK])
+            np.putmask(best, top <= b, s)
 
     # all blocks advance together, a word each in every step
     pos = np.zeros(blocks, dtype=np.int64)

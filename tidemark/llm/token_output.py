@@ -45,7 +45,7 @@ MAGIC, END = b"TDTK\x01\0\0\0", b"TDTKEND\0"
 #: Ids packed at a time, a multiple of the block.
 FLUSH = 1 << 19
 MANIFEST = "part int, path string, n_docs long, n_ids long"
-TOKENS = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
+TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class TokenFileWriter:
@@ -169,28 +169,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | No
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Decodes every file; per document its place in the file, number of ids and their CRC-32."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """Decodes every file. Per document ``start`` (the ids of all documents before it), number of ids and their CRC-32.
+
+    What stands before a file is a running sum over the manifest, one row for each file.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def read(batches):
         for b in batches:
-            for part, uri in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(part, d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, at, ids in TokenFileReader(uri).documents()]
-                for k in range(0, len(rows), 10_000):
-                    yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows[k : k + 10_000], strict=True)), strict=True)))
-
-    spread = manifest.select("part", "path").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2), "part")
-    return arrow_map(spread, read, TOKENS)
+            for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = []
+                for doc_id, at, ids in TokenFileReader(uri).documents():
+                    rows.append((doc_id, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) == 10_000:
+                        yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+                        rows = []
+                if rows:
+                    yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-
-def with_starts(manifest: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before it. Sums run over one row for each file."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = manifest.select("part", before.alias("before"))
-    return tokens.join(starts, "part").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    files = manifest.select("path", before.alias("before"))
+    return arrow_map(files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2), "path"), read, TOKENS)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write, read back, and place every document."""
     manifest = write_tokens(docs, tokenizer, end_id)
-    return with_starts(manifest, read_tokens(manifest))
+    return read_tokens(manifest)
