@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import struct
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -304,8 +306,6 @@ def proto_decode(fields: dict[int, tuple[str, str]], data: bytes) -> dict:
 
 def decoder(decode, kind: str):
     """A pandas UDF over a binary column from a Python decoder; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def run(body: pd.Series) -> pd.Series:
         return body.map(lambda b: None if b is None else decode(bytes(b)))
