@@ -52,6 +52,11 @@ def no_clash(df: DataFrame, *names: str) -> str:
     return f"{names[0]}_{k}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name as it is, or with a number behind where ``df`` has it already."""
+    return [no_clash(df, n) for n in names]
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns; extra ones never reach an operator's inner steps."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import free_names
 from tidemark.session import materialise
 
 TARGET_ENTROPY, MAX_EPOCHS = 0.9985, 4.0
@@ -171,10 +172,12 @@ def mixed_documents(docs: DataFrame, target_entropy: float | None = TARGET_ENTRO
     Rows that repeat an id and a text have the same number of copies each.
     """
     plan = mix_plan(docs, mix_weights(docs, target_entropy, max_epochs, budget_tokens))
-    copies = plan.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("epoch") == 0).alias("_rows"))
+    own, k, times, copy = free_names(docs, "mix_key", "mix_of", "mix_times", "mix_copy")
+    counted = plan.groupBy(F.col("key").alias(k)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
+    copies = counted.select(k, F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.col("rows"), F.lit(1)))).cast("int").alias(times))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.md5("text"), F.lit("~"))))
-    times = F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest(F.col("_rows"), F.lit(1)))).cast("int")
-    return docs.withColumn("_key", key).join(copies.withColumnRenamed("key", "_k"), F.col("_key") == F.col("_k")).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.withColumn(own, key).join(copies, F.col(own) == F.col(k))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture(docs: DataFrame, **targets) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, only, slices, utf8
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices, utf8
 from tidemark.llm.components import components
 from tidemark.session import materialise
 
@@ -236,9 +236,11 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
     Rows that repeat that row's id and text are dropped too.
     """
     groups = near_groups(docs, shingle, radius)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"), F.count(F.lit(1)).alias("rows"))
-    first = materialise(first.select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), "rows"), "first-of-group")
-    kept = docs.join(first.select("_id", "_th"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left_semi")
+    one, two = free_names(docs, "first_id", "first_th")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
+    first = materialise(first.select(F.col("k.doc_id").alias(one), F.col("k.th").alias(two)), "first-of-group")
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"]) == F.col(two)), "left_semi")
     # as many rows as groups, unless a row is repeated as it is
-    repeated = groups.join(first, groups["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi").count() > first.count()
+    same = groups["doc_id"].eqNullSafe(F.col(one)) & (F.col("th") == F.col(two))
+    repeated = groups.join(first, same, "left_semi").count() > first.count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, only, slices
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices
 
 SENTENCES, WORDS, LONG = 3, 25, 16
 BUFFER = 300_000
@@ -201,20 +201,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Own columns of those names come first and the new ones get a number behind.
     """
-    from tidemark.llm.common import no_clash
-
-    new = {n: no_clash(docs, n) for n in ("n_sentences", "n_removed", "kept_text", "removed_spans")}
-    cut = removed_spans(docs)
-    joined = keyed(docs).join(cut, (F.col("_did") == F.col("r_did")) & (F.col("_th") == F.col("r_th")), "left").drop("_did", "_th", "r_did", "r_th")
+    new = dict(zip(names := ("n_sentences", "n_removed", "kept_text", "removed_spans"), free_names(docs, *names), strict=True))
+    # inner names by place, so no column of ``docs`` can be taken for one of ours
+    inner = docs.select(*[F.col(f"`{c}`").alias({"doc_id": "doc_id", "text": "text"}.get(c, f"c{k}")) for k, c in enumerate(docs.columns)])
+    cut = removed_spans(only(docs, "doc_id", "text"))
+    joined = keyed(inner).join(cut, (F.col("_did") == F.col("r_did")) & (F.col("_th") == F.col("r_th")), "left").select(*inner.columns, "r_runs")
     at = docs.columns.index("text")
-    own = len(docs.columns)
+    columns = docs.columns
+    own = len(columns)
     added = pa.schema([("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
         for b in slices(batches):
             rows = [apply_runs(t, r) for t, r in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), strict=True)]
             more = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), added, strict=True)] if rows else [pa.nulls(0, f.type) for f in added]
-            yield pa.RecordBatch.from_arrays([*b.columns[:own], *more], names=[*b.schema.names[:own], *new.values()])
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], *more], names=[*columns, *new.values()])
 
     from pyspark.sql import types as T
 
