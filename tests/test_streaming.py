@@ -1,4 +1,5 @@
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,27 +13,40 @@ def files(spark, path, rows, schema):
     return spark.readStream.schema(schema).parquet(path)
 
 
-def drain(df, name, tmp, mode="update"):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp / f"c-{name}")).start()
-    q.awaitTermination()
-    return q
+def drain(spark, df, name, tmp, rows):
+    """Runs a query until its table has so many rows. With timers it would never end by itself."""
+    q = df.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp / f"c-{name}")).start()
+    end = time.time() + 90
+    try:
+        while time.time() < end and q.isActive and spark.table(name).count() < rows:
+            time.sleep(0.5)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return spark.table(name).collect()
 
 
 def test_stream_dedup_and_buffer(spark, tmp_path):
     rows = [("a", str(i)) for i in range(9)] + [("b", "x")]
     s = files(spark, str(tmp_path / "in"), rows, "k string, v string")
-    drain(stateful.deduplicate_stream(s, "k", "v", 3_600_000, 4, stateful.keep_last), "dd", tmp_path)
-    got = spark.table("dd").collect()
+    got = drain(spark, stateful.deduplicate_stream(s, "k", "v", 3_600_000, 4, stateful.keep_last), "dd", tmp_path, 2)
     assert sorted((r.key, r.n) for r in got) == [("a", 4), ("a", 4)]  # the ninth and b wait for their timers
-    drain(stateful.buffer_stream(s, "k", "v", 3_600_000, 3), "bb", tmp_path)
-    assert sorted((r.key, len(r["items"])) for r in spark.table("bb").collect()) == [("a", 3)] * 3
+    got = drain(spark, stateful.buffer_stream(s, "k", "v", 3_600_000, 3), "bb", tmp_path, 3)
+    assert sorted((r.key, len(r["items"])) for r in got) == [("a", 3)] * 3
+
+
+def test_stream_timer(spark, tmp_path):
+    s = files(spark, str(tmp_path / "in"), [("a", "1"), ("a", "2")], "k string, v string")
+    got = drain(spark, stateful.buffer_stream(s, "k", "v", 500, 10), "tt", tmp_path, 1)
+    assert [sorted(r["items"]) for r in got] == [["1", "2"]]
 
 
 def test_stream_generations(spark, tmp_path):
     rows = [("a", "arrive", "1"), ("a", "arrive", "2"), ("a", "settle", "1"), ("a", "settle", "2"), ("a", "arrive", "3")]
     s = files(spark, str(tmp_path / "in"), rows, "k string, kind string, item string")
-    drain(stateful.generation_stream(s, "k"), "gg", tmp_path)
-    assert sorted((r["item"], r.generation) for r in spark.table("gg").collect()) == [("1", 0), ("2", 0), ("3", 1)]
+    got = drain(spark, stateful.generation_stream(s, "k"), "gg", tmp_path, 3)
+    assert sorted((r["item"], r.generation) for r in got) == [("1", 0), ("2", 0), ("3", 1)]
 
 
 def test_dead_letters_and_idempotence(spark, tmp_path):
