@@ -5,7 +5,7 @@ smaller doc_id, or the same document before p). Every byte under a later window
 is judged on the input. Equal windows are found by suffix sorting with common prefixes
 (``induced``); the rest only brings the suffixes that can share 100 bytes to one shard:
 
-1. Each window belongs to the least hash among its 16-byte strings. Consecutive windows of
+1. Each window belongs to the least hash among its 40-byte strings. Consecutive windows of
    one such hash make a segment. Equal windows have equal least hashes, so they meet by it.
 2. Segments equal as a whole need no sorting: all but the first are later in every window.
    Each worker settles this among ``BUFFER`` segments before anything is shuffled, then it is
@@ -38,7 +38,7 @@ from tidemark.llm.common import arrow_map, batch, only, slices, utf8
 from tidemark.llm.induced import suffixes
 from tidemark.session import materialise
 
-LENGTH, KEY = 100, 16
+LENGTH, KEY = 100, 40
 BUFFER, HOT, SHARD = 200_000, 2000, 8 << 20
 NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,14 +50,17 @@ CUTS = "did long, th int, start int, len int"
 
 
 def key_hashes(x: np.ndarray) -> np.ndarray:
-    """A hash of the ``KEY`` bytes from each place on."""
-    n = len(x)
-    u = np.zeros(n - 7, np.uint64)
+    """A hash of the ``KEY`` bytes from each place on, eight bytes at a time."""
+    n = len(x) - KEY + 1
+    u = np.zeros(len(x) - 7, np.uint64)
     for j in range(8):
-        u |= x[j : n - 7 + j].astype(np.uint64) << np.uint64(8 * j)
-    h = (u[:-8] * _A) ^ (u[8:] * _B)
-    h ^= h >> np.uint64(31)
-    h *= _A
+        u |= x[j : len(x) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
+    h = np.zeros(n, np.uint64)
+    for at in range(0, KEY, 8):
+        h ^= u[at : at + n]
+        h *= _A
+        h ^= h >> np.uint64(31)
+    h *= _B
     return h ^ (h >> np.uint64(29))
 
 
