@@ -4,13 +4,17 @@
 range of ids; ``read_tokens`` reads files back, block by block. File layout, all integers
 little-endian::
 
-    b"TDTK\\x01\\0\\0\\0"
+    b"TDTK\\x02\\0\\0\\0"
     words        uint64 each, Simple-8b, blocks of 1024 ids
     offsets      int64, first word of each block and the end
     escapes_at   int64, first escape of each block and the end
     escapes      uint8, high bits of escaped ids
+    ranks        uint32, ids by falling frequency; what is packed is an id's rank
     documents    int64 doc_id, int64 number of ids, uint8 null flag (three arrays)
-    footer       uint64 n_words, n_blocks, n_escapes, n_documents, n_ids, b"TDTKEND\\0"
+    footer       uint64 n_words, n_blocks, n_escapes, n_ranks, n_documents, n_ids, b"TDTKEND\\0"
+
+Frequent ids have small ranks, which need few bits. The ranks are those of a file's first
+``FLUSH`` ids; an id that isn't among them is packed as itself plus the number of ranks.
 
 Cases. A null text is empty and has only the end id. Documents with equal ids are all
 kept, ordered by their text; null ids come last and read back as null. An empty table gives
@@ -41,13 +45,46 @@ from tidemark.llm.common import arrow_map, batch, only
 from tidemark.llm.tokenizing import encoder
 from tidemark.session import materialise, new_dir
 
-MAGIC, END = b"TDTK\x01\0\0\0", b"TDTKEND\0"
+MAGIC, END = b"TDTK\x02\0\0\0", b"TDTKEND\0"
 #: Ids packed at a time, a multiple of the block.
 FLUSH = 1 << 19
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class Ranks:
+    """Ids to ranks and back, from the ids by falling frequency."""
+
+    #: Ids below this are looked up in an array, others searched for.
+    DENSE = 1 << 20
+
+    def __init__(self, by_rank: np.ndarray):
+        self.by_rank = by_rank.astype(np.uint64)
+        self.n = np.uint64(len(by_rank))
+        self.order = np.argsort(self.by_rank, kind="stable").astype(np.uint64)
+        self.sorted = self.by_rank[self.order.astype(np.int64)]
+        self.table = np.arange(self.DENSE, dtype=np.uint64) + self.n
+        small = self.by_rank < self.DENSE
+        self.table[self.by_rank[small].astype(np.int64)] = np.flatnonzero(small)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Ranks:
+        found, n = np.unique(ids, return_counts=True)
+        return cls(found[np.lexsort((found, -n))])
+
+    def encode(self, ids: np.ndarray) -> np.ndarray:
+        if not len(ids) or ids.max() < self.DENSE:
+            return self.table[ids.astype(np.int64)]
+        at = np.minimum(np.searchsorted(self.sorted, ids), max(0, len(self.sorted) - 1))
+        return np.where(self.sorted[at] == ids, self.order[at], ids + self.n)
+
+    def decode(self, ranks: np.ndarray) -> np.ndarray:
+        known = ranks < self.n
+        if known.all():
+            return self.by_rank[ranks.astype(np.int64)]
+        return np.where(known, self.by_rank[np.where(known, ranks, 0).astype(np.int64)], ranks - self.n) if len(self.by_rank) else ranks
+
+
 class TokenFileWriter:
     """Appends documents to one file; ``close`` writes the tables behind the words."""
 
@@ -60,6 +97,7 @@ class TokenFileWriter:
         self.offsets, self.escapes_at, self.escapes = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
         self.words = self.n_ids = self.waiting_ids = 0
         self.waiting: list[bytes] = []
+        self.ranks: Ranks | None = None
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """``ids``: little-endian unsigned 32-bit."""
@@ -76,8 +114,10 @@ class TokenFileWriter:
     def flush(self, last: bool = False) -> None:
         ids = np.frombuffer(b"".join(self.waiting), dtype="<u4").astype(np.uint64)
         whole = len(ids) if last else len(ids) // simple8b.BLOCK * simple8b.BLOCK
+        if self.ranks is None:
+            self.ranks = Ranks.of(ids[:FLUSH])
         for k in range(0, whole, FLUSH):
-            words, offsets, high = simple8b.encode(ids[k : min(k + FLUSH, whole)])
+            words, offsets, high = simple8b.encode(self.ranks.encode(ids[k : min(k + FLUSH, whole)]))
             if len(words):
                 self.out.write(words.astype("<u8").tobytes())
                 self.offsets.append(offsets[1:] + self.words)
@@ -92,9 +132,9 @@ class TokenFileWriter:
         self.flush(last=True)
         offsets, escapes_at = np.concatenate(self.offsets), np.concatenate(self.escapes_at)
         escapes = np.concatenate(self.escapes) if self.escapes else np.zeros(0, np.uint8)
-        for part in (offsets.astype("<i8"), escapes_at.astype("<i8"), escapes, np.array(self.docs, "<i8"), np.array(self.counts, "<i8"), np.array(self.nulls, np.uint8)):
+        for part in (offsets.astype("<i8"), escapes_at.astype("<i8"), escapes, self.ranks.by_rank.astype("<u4"), np.array(self.docs, "<i8"), np.array(self.counts, "<i8"), np.array(self.nulls, np.uint8)):
             self.out.write(part.tobytes())
-        self.out.write(np.array([self.words, len(offsets) - 1, len(escapes), len(self.docs), self.n_ids], "<u8").tobytes() + END)
+        self.out.write(np.array([self.words, len(offsets) - 1, len(escapes), len(self.ranks.by_rank), len(self.docs), self.n_ids], "<u8").tobytes() + END)
         self.out.close()
 
 
@@ -105,14 +145,16 @@ class TokenFileReader:
         self.fs, path = pafs.FileSystem.from_uri(uri)
         self.file = self.fs.open_input_file(path)
         size = self.file.size()
-        tail = self.file.read_at(48, size - 48)
-        if tail[40:] != END or self.file.read_at(8, 0) != MAGIC:
+        tail = self.file.read_at(56, size - 56)
+        if tail[48:] != END or self.file.read_at(8, 0) != MAGIC:
             raise ValueError(f"not a token file: {uri}")
-        words, blocks, escapes, docs, self.n_ids = map(int, np.frombuffer(tail[:40], "<u8"))
+        words, blocks, escapes, ranks, docs, self.n_ids = map(int, np.frombuffer(tail[:48], "<u8"))
         at = 8 + 8 * words
         self.offsets, at = self._array("<i8", blocks + 1, at)
         self.escapes_at, at = self._array("<i8", blocks + 1, at)
         self.escapes, at = self._array("u1", escapes, at)
+        by_rank, at = self._array("<u4", ranks, at)
+        self.ranks = Ranks(by_rank)
         self.docs, at = self._array("<i8", docs, at)
         self.counts, at = self._array("<i8", docs, at)
         self.nulls, at = self._array("u1", docs, at)
@@ -128,7 +170,7 @@ class TokenFileReader:
             return np.zeros(0, np.uint64)
         lo, hi = int(self.offsets[a]), int(self.offsets[b])
         words = np.frombuffer(self.file.read_at(8 * (hi - lo), 8 + 8 * lo), "<u8")
-        got = simple8b.decode(words, self.escapes[self.escapes_at[a] : self.escapes_at[b]])
+        got = self.ranks.decode(simple8b.decode(words, self.escapes[self.escapes_at[a] : self.escapes_at[b]]))
         return got[first - a * simple8b.BLOCK : end - a * simple8b.BLOCK]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
