@@ -39,7 +39,7 @@ from tidemark.llm.induced import suffixes
 from tidemark.session import materialise
 
 LENGTH, KEY = 100, 40
-BUFFER, HOT, SHARD = 200_000, 2000, 8 << 20
+BUFFER, HOT, SHARD = 100_000, 2000, 3 << 20
 NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
