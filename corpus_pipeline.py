@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, decontamination, mixing, token output.
+"""Corpus pipeline: quality rules, near-dedup, decontamination, mixing, token output.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of
@@ -16,7 +16,7 @@ from tidemark.llm.decontaminate import clean_documents
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import fit_references, passing_documents
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.simhash import one_of_each_group
+from tidemark.llm.similar import one_of_each_similar
 from tidemark.llm.token_output import token_table
 from tidemark.session import materialise
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the row with the smallest doc_id of each group stays."""
-    return one_of_each_group(docs)
+    """Five-word similarity of 0.8 or more: the row with the smallest doc_id of each group stays."""
+    return one_of_each_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix),
     ("token-ID / binary output", tokens),
 ]
 
-#: SimHash, the references and the tokenizer can't be written in SQL.
+#: The sketches, the references and the tokenizer can't be written in SQL.
 ORACLE_SQL = None
 
 

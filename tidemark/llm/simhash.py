@@ -235,7 +235,11 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
 
     Rows that repeat that row's id and text are dropped too.
     """
-    groups = near_groups(docs, shingle, radius)
+    return first_of_groups(docs, near_groups(docs, shingle, radius))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each group; ``groups``: doc_id, th and root of its rows."""
     one, two = free_names(docs, "first_id", "first_th")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
     first = materialise(first.select(F.col("k.doc_id").alias(one), F.col("k.th").alias(two)), "first-of-group")
