@@ -1,10 +1,12 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at line feeds;
-one of over ``LONG`` words is cut on after every ``LONG`` words, so that a long passage has
-several wherever it stands. A span is a run of consecutive sentences, the shortest from each
+A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at line feeds, and
+sentences into pieces after each word whose hash is the least of the ``NEAR`` words on either
+side. So a passage is cut alike wherever it stands, but for a few words at its ends. A piece of
+over ``LONG`` words, as repetition makes, is cut on after every ``LONG``. Below, sentences are
+these pieces. A span is a run of consecutive sentences, the shortest from each
 sentence on, and the shortest up to each, of at least ``SENTENCES`` sentences and ``WORDS``
-words. Every span is hashed (96 bits of XXH3, words lower-cased and single-blanked) and
+words. Every span is hashed (96 bits, from sums of its pieces' XXH3, words lower-cased and single-blanked) and
 joined globally. The first occurrence, by doc_id and then place, stays; sentences covered by
 any other are removed. What is removed is judged on the input.
 
@@ -24,6 +26,7 @@ kept by ``deduplicated``, whatever their names.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +35,42 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices
 
-SENTENCES, WORDS, LONG = 3, 25, 16
+SENTENCES, WORDS, LONG, NEAR = 3, 25, 16, 2
 BUFFER = 300_000
-_END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\S+")
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = (1 << 63) - 1
 
 
+def _pieces(text: str) -> tuple[list[tuple[int, int]], list[bytes], np.ndarray]:
+    """(places of the words in code points, the words lower-cased, word numbers at which pieces begin and the last ends)."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    n = len(places)
+    if not n:
+        return [], [], np.zeros(1, np.int64)
+    low = " ".join(text.split()).encode().translate(LOWER).split(b" ")
+    end = np.fromiter((w[-1] in b".!?" for w in low), bool, n)
+    if "\n" in text:
+        end[:-1] |= np.fromiter(("\n" in text[a[1] : b[0]] for a, b in zip(places, places[1:], strict=False)), bool, n - 1)
+    end[-1] = True
+    if n > 2 * NEAR:
+        h = np.fromiter(map(zlib.crc32, low), np.int64, n)
+        mid = h[NEAR : n - NEAR]
+        least = np.ones(len(mid), bool)
+        for k in range(1, NEAR + 1):
+            least &= (mid < h[NEAR - k : n - NEAR - k]) & (mid <= h[NEAR + k : n - NEAR + k])
+        sentence = np.cumsum(end) - end
+        end[NEAR : n - NEAR] |= least & (sentence[: n - 2 * NEAR] == sentence[2 * NEAR :])
+    cut = np.concatenate([[0], np.flatnonzero(end) + 1])
+    if (np.diff(cut) > LONG).any():
+        cut = np.array([k for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False) for k in range(a, b, LONG)] + [n])
+    return places, low, cut
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence, in code points; ends don't include white space."""
-    out = []
-    at = 0
-    bounds = [m.span() for m in _END.finditer(text)]
-    bounds.append((len(text), len(text)))
-    for stop, after in bounds:
-        words = text[at:stop].split()
-        if len(words) > LONG:
-            places = [m.span() for m in _WORD.finditer(text, at, stop)]
-            for k in range(0, len(places), LONG):
-                run = places[k : k + LONG]
-                out.append((run[0][0], run[-1][1], [text[a:b] for a, b in run]))
-        elif words:
-            a = at
-            while text[a].isspace():
-                a += 1
-            b = stop
-            while text[b - 1].isspace():
-                b -= 1
-            out.append((a, b, words))
-        at = after
-    return out
+    """(start, end, words) of each piece, in code points; ends don't include white space."""
+    places, _, cut = _pieces(text)
+    return [(places[a][0], places[b - 1][1], [text[x:y] for x, y in places[a:b]]) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
 
 
 def runs(n_words: np.ndarray) -> np.ndarray:
@@ -77,20 +86,32 @@ def runs(n_words: np.ndarray) -> np.ndarray:
     return np.unique(both, axis=0)
 
 
-def spans(text: str) -> list[tuple[int, int, int, int]]:
-    """(high and low part of the hash, first sentence, number of sentences) of every span."""
+def span_table(text: str) -> np.ndarray:
+    """Rows high and low part of the hash, first sentence, number of sentences; a column for every span."""
     import xxhash
 
-    found = sentences(text)
-    cut = runs(np.array([len(w) for _, _, w in found], np.int64))
+    _, low, bounds = _pieces(text)
+    cut = runs(np.diff(bounds))
     if not len(cut):
-        return []
-    marks = [xxhash.xxh3_128_digest(" ".join(w).encode().translate(LOWER)) for _, _, w in found]
+        return np.zeros((4, 0), np.int64)
+    at = bounds.tolist()
+    marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(low[a:b])) for a, b in zip(at, at[1:], strict=False)), "<u8").reshape(-1, 2)
+    a, b = cut.T
     out = []
-    for a, b in cut.tolist():
-        d = xxhash.xxh3_128_digest(b"".join(marks[a:b]))
-        out.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:12], "big", signed=True), a, b - a))
-    return out
+    for k, base in enumerate(_BASES):
+        # sums of marks times powers, modulo 2^64; odd bases have an inverse
+        power = np.cumprod(np.full(len(marks), base, np.uint64))
+        back = np.cumprod(np.full(len(marks), pow(base, -1, 1 << 64), np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks[:, k] * power)])
+        h = (total[b] - total[a]) * back[a]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASES[1 - k])
+        out.append(h ^ (h >> np.uint64(29)))
+    return np.stack([out[0].view(np.int64), out[1].view(np.int64) >> 32, a, b - a])
+
+
+def spans(text: str) -> list[tuple[int, int, int, int]]:
+    """(high and low part of the hash, first sentence, number of sentences) of every span."""
+    return list(map(tuple, span_table(text).T.tolist()))
 
 
 # Columns of the rows below: high, low, did, th, first, n
@@ -107,30 +128,35 @@ def later_ones(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, (rows[_KEYS:5] != rows[_KEYS:5, first]).any(axis=0)
 
 
-ROWS = "part long, high long, low int, did long, th int, first int, n int"
+ROWS = "high long, low int, did long, th int, first int, n int"
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """Spans that may be first (part = their hash), and pre-aggregated removals (low = null)."""
-    schema = pa.schema([("part", pa.int64()), ("high", pa.int64()), ("low", pa.int32()), ("did", pa.int64()), ("th", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+    """Spans that may be first, and pre-aggregated removals (low = null)."""
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("did", pa.int64()), ("th", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
 
-    def settle(held: list[tuple]):
-        rows, later = later_ones(np.array(held, np.int64).T.copy())
+    def settle(held: list[np.ndarray]):
+        rows, later = later_ones(np.concatenate(held, axis=1))
         keep, drop = rows[:, ~later], rows[:, later]
-        yield batch(schema, part=pa.array(keep[0]), high=pa.array(keep[0]), low=pa.array(keep[1].astype(np.int32)), did=pa.array(keep[2]), th=pa.array(keep[3].astype(np.int32)), first=pa.array(keep[4].astype(np.int32)), n=pa.array(keep[5].astype(np.int32)))
+        yield batch(schema, high=pa.array(keep[0]), low=pa.array(keep[1].astype(np.int32)), did=pa.array(keep[2]), th=pa.array(keep[3].astype(np.int32)), first=pa.array(keep[4].astype(np.int32)), n=pa.array(keep[5].astype(np.int32)))
         if drop.shape[1]:
             # dealt by document and sentence, not by the hash
             part = (drop[2] * 0x9E3779B1 + drop[4] * 0x85EBCA77).astype(np.int64)
-            yield batch(schema, part=pa.array(part), high=pa.array(part), low=pa.nulls(len(part), pa.int32()), did=pa.array(drop[2]), th=pa.array(drop[3].astype(np.int32)), first=pa.array(drop[4].astype(np.int32)), n=pa.array(drop[5].astype(np.int32)))
+            yield batch(schema, high=pa.array(part), low=pa.nulls(len(part), pa.int32()), did=pa.array(drop[2]), th=pa.array(drop[3].astype(np.int32)), first=pa.array(drop[4].astype(np.int32)), n=pa.array(drop[5].astype(np.int32)))
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
+        size = 0
         for b in slices(batches):
             for did, th, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                held.extend((h, low, did, th, a, n) for h, low, a, n in spans(text or ""))
-                if len(held) >= BUFFER:
+                found = span_table(text or "")
+                n = found.shape[1]
+                if n:
+                    held.append(np.concatenate([found[:2], np.full((1, n), did), np.full((1, n), th), found[2:]]))
+                    size += n
+                if size >= BUFFER:
                     yield from settle(held)
-                    held = []
+                    held, size = [], 0
         if held:
             yield from settle(held)
 
@@ -145,7 +171,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """did, th, first, n: sentences covered by spans that aren't first."""
     schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
-    dealt = span_rows(docs).repartition("part").sortWithinPartitions("high").select("high", "low", "did", "th", "first", "n")
+    dealt = span_rows(docs).repartition("high").sortWithinPartitions("high").select("high", "low", "did", "th", "first", "n")
 
     def out(rows: np.ndarray):
         if rows.shape[1]:
@@ -176,9 +202,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
 def apply_runs(text: str | None, cut: list[dict] | None) -> tuple[int, int, str | None, list[dict]]:
     """(sentences, removed sentences, text left, removed spans in code points)."""
-    found = sentences(text or "")
+    places, _, bounds = _pieces(text or "")
     if not cut:
-        return len(found), 0, text, []
+        return len(bounds) - 1, 0, text, []
+    found = [places[k] for k in bounds[:-1].tolist()]
     gone = np.zeros(len(found) + 1, np.int64)
     for r in cut:
         gone[r["first"]] += 1
