@@ -62,16 +62,17 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def arrow_filter(df: DataFrame, column: str, keep) -> DataFrame:
+def arrow_filter(df: DataFrame, column: str, keep, *more: str) -> DataFrame:
     """Rows of ``df`` for which ``keep`` says so, with their columns as they are.
 
-    ``keep`` gets the UTF-8 bytes of ``column`` for a slice of rows and returns as many
-    booleans. The verdict is taken beside the row, so no join is needed.
+    ``keep`` gets the UTF-8 bytes of ``column``, and the values of ``more``, for a slice of rows
+    and returns as many booleans. The verdict is taken beside the row, so no join is needed.
     """
     at = df.columns.index(column)
+    also = [df.columns.index(c) for c in more]
 
     def run(batches):
         for b in slices(batches):
-            yield b.filter(pa.array(keep(utf8(b.column(at))), pa.bool_()))
+            yield b.filter(pa.array(keep(utf8(b.column(at)), *[b.column(k).to_pylist() for k in also]), pa.bool_()))
 
     return arrow_map(df, run, df.schema)
