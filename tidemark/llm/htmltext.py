@@ -2,7 +2,10 @@
 
 A page is parsed into a tree with HTML's rules for void, optional and raw elements. Chrome
 (menus, page headers and footers, sidebars, notices, adverts, forms, comments by readers,
-scripts, styles, hidden parts) is cut by element, role, and class or id words. Every node
+scripts, styles, hidden parts) is cut by element, role, and class or id words. A name doesn't
+cut, nor does being a form, what holds over half of the body's unlinked text (comments are cut
+all the same, unless a content word is in their names); on headings and paragraphs only whole
+classes count. Every node
 left gets its composite density: characters by tags, adjusted by how many of them are links.
 A node's density sum is the sum of its children's. The node with the largest sum is the
 core; the smallest density on the path from it up to the body is the threshold. Every
@@ -64,6 +67,10 @@ NAMES = frozenset(
 CONTENT = frozenset("article post entry story content text body main".split())
 #: Chrome words don't count on these: they hold the article, whatever their class says.
 KEPT = frozenset("html body article main".split())
+#: On these only whole classes count: their ids are made of what they say.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Of these names a node can be larger than the article.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -72,36 +79,39 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "chrome", "named", "holds", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "down", "chrome", "named", "holds", "readers", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, attributes: str = ""):
         self.tag, self.up = tag, up
-        self.chrome, self.named, self.holds = _kind(tag, attributes)
+        self.chrome, self.named, self.holds, self.readers = _kind(tag, attributes)
         self.down: list[Node | str] = []
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(chrome for certain, chrome by its class or id, holds the article by its class or id)."""
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(chrome for certain, chrome by its class or id, holds the article by its class or id, comments by its class or id)."""
     if tag in CHROME:
-        return True, False, False
+        return True, False, False, False
     if not attributes.strip():
-        return False, False, False
+        return False, False, False, False
     words: set[str] = set()
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), entities.unescape(a or b or c)
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
+            if tag not in PROSE:
+                words.update(w.lower() for w in _WORD.findall(value))
+            elif name == "class":
+                words.update(value.lower().split())
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return True, False, False
+            return True, False, False, False
         elif tag not in KEPT and name == "role" and value.strip().lower() in ROLES:
-            return True, False, False
+            return True, False, False, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, False
+            return True, False, False, False
     holds = bool(words & CONTENT)
     marks = words & NAMES
     if holds:
         marks -= {"header", "head"}
-    return False, bool(marks) and tag not in KEPT, holds and not marks
+    return False, bool(marks) and tag not in KEPT, holds and not marks, bool(marks & READERS) and not holds
 
 
 def parse(page: str) -> Node:
@@ -209,8 +219,24 @@ def _chrome_header(node: Node) -> bool:
     return True
 
 
+def _spare(body: Node) -> None:
+    """Takes the mark off named nodes and forms that hold over half of the body's unlinked text."""
+    order, stack = [], [body]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(d for d in x.down if not isinstance(d, str) and (not d.chrome or d.tag == "form"))
+    for x in reversed(order):
+        x.plain = 0 if x.tag == "a" else sum(_size(d) if isinstance(d, str) else 0 if d.named and d.readers or d.chrome and d.tag != "form" else d.plain for d in x.down)
+    for x in order:
+        if 2 * x.plain > body.plain:
+            x.named = x.named and x.readers
+            x.chrome = x.chrome and x.tag != "form"
+
+
 def measure(body: Node) -> list[Node]:
     """Sets the densities below ``body``, chrome left out; returns its nodes, parents first."""
+    _spare(body)
     nodes, stack = [], [body]
     while stack:
         x = stack.pop()
