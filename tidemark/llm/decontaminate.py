@@ -12,7 +12,8 @@ The benchmark is the broadcast side. Its normalised patterns are measured first:
 automata of that size each, one after another over the same rows, so memory stays bounded.
 
 Cases. Null text or no words: no words, no hits, not contaminated. Items with null or
-wordless text give no window; items with null ids are left out (they can't be named). Equal
+wordless text give no window; items with null ids mark words and documents like any other, but
+aren't among the items found, since they can't be named. Equal
 windows of several items count for each of them; repeated rows of an item count once. An
 empty benchmark leaves every document clean, an empty documents table gives no rows.
 Documents with equal ids are each judged alone. Extra columns are ignored here.
@@ -42,14 +43,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def patterns(items: list[tuple[str, bytes]], window: int = WINDOW) -> dict[bytes, list[str]]:
-    """Window, blank at either end -> ids of the items that have it."""
-    out: dict[bytes, set[str]] = {}
+def patterns(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> dict[bytes, list[str]]:
+    """Window, blank at either end -> ids of the items that have it, without null."""
+    out: dict[bytes, set[str | None]] = {}
     for item, text in items:
         w = words_of(text)
         for k in range(max(1, len(w) - window + 1) if w else 0):
             out.setdefault(b" " + b" ".join(w[k : k + window]) + b" ", set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
+    return {k: sorted(v - {None}) for k, v in out.items()}
 
 
 class Scanner:
@@ -103,9 +104,9 @@ def shared_tables(benchmark: DataFrame, window: int, max_pattern_bytes: int) ->
     """Broadcast pattern tables of at most ``max_pattern_bytes`` each, with a key for each worker's cache."""
     sc = benchmark.sparkSession.sparkContext
     tables: list[dict[bytes, list[str]]] = []
-    items: list[tuple[str, bytes]] = []
+    items: list[tuple[str | None, bytes]] = []
     room = max_pattern_bytes
-    rows = only(benchmark, "item_id", "text").where("item_id is not null").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8")).distinct()
+    rows = only(benchmark, "item_id", "text").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8")).distinct()
     for item, text in rows.toLocalIterator():  # the stated benchmark, block by block
         cost = len(text or b"") * window
         if items and cost > room:
