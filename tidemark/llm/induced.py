@@ -10,8 +10,12 @@ to a budget and beyond it in files, those needed last first.
 
 S* suffixes are sorted by the same induction over their substrings, which are then named;
 equal names leave a string of a third of the length, sorted by recursion, or by doubling
-once its alphabet is large or it is short (``BASE``). Arrays larger than the budget are
-mapped files.
+once its alphabet is large or it is short (``BASE``). Common prefixes aren't carried through that recursion: those
+of neighbouring S* suffixes are compared symbol by symbol afterwards (``star_lcp``).
+
+Memory. Only the text, when larger than the budget, is a mapped file, and only the queues
+spill. Order, types and finished buckets with their common prefixes are always in
+memory, so this does not sort a shard beyond memory.
 
 Common-prefix values are carried along, up to ``depth``: two suffixes induced one after the
 other share one symbol more than the least value between their sources. Order and values
