@@ -1,16 +1,22 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into a tree with HTML's rules for void, optional and raw elements. Chrome
-(menus, page headers and footers, sidebars, notices, adverts, forms, comments by readers,
-scripts, styles, hidden parts) is cut by element, role, and class or id words. A name doesn't
-cut, nor does being a form, what holds over half of the body's unlinked text (comments are cut
-all the same, unless a content word is in their names); on headings and paragraphs only whole
-classes count. Every node
-left gets its composite density: characters by tags, adjusted by how many of them are links.
-A node's density sum is the sum of its children's. The node with the largest sum is the
-core; the smallest density on the path from it up to the body is the threshold. Every
-branch off the body that reaches the threshold gives its own node of the largest sum, and
-those subtrees are the article.
+A page is parsed into a tree with HTML's rules for void, optional and raw elements. Only what
+never shows as text goes before anything is measured: scripts, styles, templates, embedded
+objects, form controls, hidden elements. Every other node gets its composite density:
+characters by tags, adjusted by how many of them are links. A node's density sum is the sum
+of its children's. The node with the largest sum is the core; the smallest density on the
+path from it up to the body is the threshold. Every branch off the body that reaches the
+threshold gives its own node of the largest sum, widened past parents that add mostly unlinked
+text, such as the title; those subtrees are the article. A branch without inner elements has no
+sum to show, so it must reach the core's own density; headings right before a selected subtree belong to it.
+
+Names break ties, after that. An element (menu, page header or footer, aside, form), role, class
+or id word marks a node as chrome. A marked core gives way to the unmarked node with the
+largest sum, if that has an eighth of it at least. A marked node among what was selected goes,
+unless it holds over half of the body's unlinked text and the core is in it or hardly anything
+else is left; comments by readers go whatever they hold. On headings and paragraphs only whole classes count, and words that prose
+uses as well (``LOOSE``) count only where the node is mostly links or, on other elements,
+also where it is below the threshold.
 
 Text: character references are decoded, white space inside a block becomes one blank,
 blocks are trimmed and joined in page order by an empty line. Nothing else is dropped.
@@ -53,7 +59,10 @@ OPTIONAL = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span sub sup mark q cite abbr label ins del kbd samp var dfn bdi bdo time data".split())
-CHROME = frozenset("nav aside footer form button select input textarea label fieldset script style noscript template iframe object embed svg canvas audio video map dialog menu head title search".split())
+#: Never text of the page.
+UNSEEN = frozenset("button select input textarea script style noscript template iframe object embed svg canvas audio video map head title".split())
+#: Elements that mark chrome.
+CHROME = frozenset("nav aside footer form label fieldset dialog menu search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 #: Words of class and id names that mark chrome.
 NAMES = frozenset(
@@ -63,12 +72,17 @@ NAMES = frozenset(
     "comment comments disqus reply replies respond share sharing social follow related recommended recommendations newsletter subscribe "
     "subscription signup login search copyright skip hidden tags toc".split()
 )
+#: Chrome words that prose and its layout use as well.
+LOOSE = frozenset("share sharing social follow tags side rail head header foot search skip related recommended notice notices alert menu banner toc reply respond promotion".split())
+#: Of these also containers may hold article text.
+LOOSE_BOX = frozenset("share sharing follow tags side rail head foot search skip".split())
 #: Words of class and id names that mark the article; with one of them a header holds its title.
 CONTENT = frozenset("article post entry story content text body main".split())
 #: Chrome words don't count on these: they hold the article, whatever their class says.
 KEPT = frozenset("html body article main".split())
 #: On these only whole classes count: their ids are made of what they say.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Of these names a node can be larger than the article.
 READERS = frozenset("comment comments disqus reply replies respond".split())
 
@@ -79,20 +93,21 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "chrome", "named", "holds", "readers", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "down", "unseen", "marked", "loose", "holds", "readers", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, attributes: str = ""):
         self.tag, self.up = tag, up
-        self.chrome, self.named, self.holds, self.readers = _kind(tag, attributes)
+        self.unseen, self.marked, self.loose, self.holds, self.readers = _kind(tag, attributes)
         self.down: list[Node | str] = []
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(chrome for certain, chrome by its class or id, holds the article by its class or id, comments by its class or id)."""
-    if tag in CHROME:
-        return True, False, False, False
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """(never text, marked as chrome, only by loose words, named as the article, named as comments)."""
+    if tag in UNSEEN:
+        return True, False, False, False, False
+    marked = tag in CHROME
     if not attributes.strip():
-        return False, False, False, False
+        return False, marked, False, False, False
     words: set[str] = set()
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), entities.unescape(a or b or c)
@@ -102,16 +117,18 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
             elif name == "class":
                 words.update(value.lower().split())
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return True, False, False, False
+            return True, False, False, False, False
         elif tag not in KEPT and name == "role" and value.strip().lower() in ROLES:
-            return True, False, False, False
+            marked = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, False, False
+            return True, False, False, False, False
     holds = bool(words & CONTENT)
-    marks = words & NAMES
+    names = words & NAMES
     if holds:
-        marks -= {"header", "head"}
-    return False, bool(marks) and tag not in KEPT, holds and not marks, bool(marks & READERS) and not holds
+        names -= {"header", "head"}
+    named = bool(names) and tag not in KEPT
+    loose = named and not marked and not names - (LOOSE if tag in PROSE else LOOSE_BOX)
+    return False, marked or named, loose, holds and not names, bool(names & READERS) and not holds
 
 
 def parse(page: str) -> Node:
@@ -182,14 +199,14 @@ def parse(page: str) -> Node:
             own, stops = OPTIONAL[tag]
             while (x := nearest(own, stops)) is not None:
                 close_to(x.up)
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and here.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if tag in HEADINGS and here.tag in HEADINGS:
             close_to(here.up)
         node = Node(tag, here, attributes)
         if tag in ("article", "main"):
             # a wrapper named after what else it holds is no chrome
             x = here
             while x is not None:
-                x.named = False
+                x.marked = False
                 x = x.up
         here.down.append(node)
         if tag in VOID or (attributes.endswith("/") and tag in ("path", "rect", "circle")):
@@ -207,7 +224,7 @@ def _size(text: str) -> int:
     return len(text) - text.count(" ") - text.count("\n")
 
 
-def _chrome_header(node: Node) -> bool:
+def _page_header(node: Node) -> bool:
     """A ``header`` outside the article is the page's; inside it holds the title."""
     if node.tag != "header":
         return False
@@ -219,28 +236,12 @@ def _chrome_header(node: Node) -> bool:
     return True
 
 
-def _spare(body: Node) -> None:
-    """Takes the mark off named nodes and forms that hold over half of the body's unlinked text."""
-    order, stack = [], [body]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack.extend(d for d in x.down if not isinstance(d, str) and (not d.chrome or d.tag == "form"))
-    for x in reversed(order):
-        x.plain = 0 if x.tag == "a" else sum(_size(d) if isinstance(d, str) else 0 if d.named and d.readers or d.chrome and d.tag != "form" else d.plain for d in x.down)
-    for x in order:
-        if 2 * x.plain > body.plain:
-            x.named = x.named and x.readers
-            x.chrome = x.chrome and x.tag != "form"
-
-
 def measure(body: Node) -> list[Node]:
-    """Sets the densities below ``body``, chrome left out; returns its nodes, parents first."""
-    _spare(body)
+    """Sets the densities of all nodes below ``body``, without those that are never text; returns them, parents first."""
     nodes, stack = [], [body]
     while stack:
         x = stack.pop()
-        x.down = [d for d in x.down if isinstance(d, str) or not (d.chrome or d.named or _chrome_header(d))]
+        x.down = [d for d in x.down if isinstance(d, str) or not d.unseen]
         nodes.append(x)
         stack.extend(d for d in reversed(x.down) if not isinstance(d, str))
     for x in reversed(nodes):
@@ -283,22 +284,32 @@ def _widened(core: Node, branch: Node) -> Node:
     return core
 
 
-def article_roots(page: str) -> list[Node]:
-    """The subtrees that are the article, in page order."""
-    root = parse(page)
-    body = next((d for d in root.down if not isinstance(d, str) and d.tag == "body"), root)
-    nodes = measure(body)
-    if body.chars == 0:
-        return []
+def selected(nodes: list[Node]) -> tuple[list[Node], Node, float]:
+    """(subtrees that density takes for the article, in page order; the core; the threshold)."""
+    body = nodes[0]
     core = max(nodes, key=lambda x: x.total)
     if core.total <= 0:
-        return [body]
-    threshold, x = core.density, core
-    while x is not None and x is not root:
-        threshold = min(threshold, x.density)
-        if x is body:
-            break
+        return [body], body, body.density
+    # a menu or a thread of comments may have the largest sum; what it may not be, it isn't
+    chrome = set()
+    for x in nodes:
+        if x.marked or (x.up is not None and id(x.up) in chrome):
+            chrome.add(id(x))
+    if id(core) in chrome:
+        other = max((x for x in nodes if id(x) not in chrome), key=lambda x: x.total, default=core)
+        core = other if 8 * other.total >= core.total else core
+    if core is body:
+        # nothing off the path to judge by; only menus are told by their density
+        for d in body.down:
+            if not isinstance(d, str) and 2 * d.link_chars > d.chars and d.density < body.density:
+                d.marked = True
+        return [body], body, body.density
+    threshold, path = core.density, {id(core)}
+    x = core
+    while x is not body:
         x = x.up
+        threshold = min(threshold, x.density)
+        path.add(id(x))
     # best[x]: the node of the largest sum in x's subtree
     best: dict[int, Node] = {}
     for x in reversed(nodes):
@@ -307,17 +318,81 @@ def article_roots(page: str) -> list[Node]:
             if not isinstance(d, str) and best[id(d)].total > top.total:
                 top = best[id(d)]
         best[id(x)] = top
-    if best[id(body)] is body:
-        return [body]
     found: list[Node] = []
     stack = [body]
     while stack:
         x = stack.pop()
-        if x is not body and x.density >= threshold and x.chars:
-            found.append(_widened(best[id(x)] if best[id(x)].total > 0 else x, x))
+        if x is not body and x.chars and x.density >= (threshold if x.total > 0 else core.density):
+            found.append(_widened(core if id(x) in path else best[id(x)] if best[id(x)].total > 0 else x, x))
             continue
         stack.extend(d for d in reversed(x.down) if not isinstance(d, str))
-    return found or [core]
+    return _with_headings(found or [core], body), core, threshold
+
+
+def _with_headings(roots: list[Node], body: Node) -> list[Node]:
+    """The subtrees, each after the headings right before it or before what it stands in."""
+    out: list[Node] = []
+    taken = {id(x) for x in roots}
+    for root in roots:
+        ahead: list[Node] = []
+        x = root
+        while x is not body:
+            around = [d for d in x.up.down if not isinstance(d, str)]
+            k = next(k for k, d in enumerate(around) if d is x)
+            while k and around[k - 1].tag in HEADINGS and around[k - 1].chars and id(around[k - 1]) not in taken:
+                k -= 1
+                ahead.append(around[k])
+                taken.add(id(around[k]))
+            x = x.up
+        out += [*reversed(ahead), root]
+    return out
+
+
+def _drop_marked(roots: list[Node], nodes: list[Node], core: Node, threshold: float) -> list[Node]:
+    """Takes marked nodes out of the selected subtrees, and out of the selection what lies below one."""
+    body = nodes[0]
+    for x in nodes:
+        x.marked = x.marked or _page_header(x)
+        if x.loose and 2 * x.link_chars <= x.chars and (x.tag in PROSE or x.density >= threshold):
+            x.marked = x.readers = False
+    for x in reversed(nodes):
+        x.plain = 0 if x.tag == "a" else sum(_size(d) if isinstance(d, str) else 0 if d.marked and d.readers else d.plain for d in x.down)
+    # a marked node of most of the text stays if the core is in it, or else hardly anything is left
+    inside, below, path = {id(x) for x in nodes if x.tag in ("article", "main") and x.chars}, set(), set()
+    named_article = bool(inside)
+    unmarked = 0
+    for x in nodes:
+        if x.up is not None and id(x.up) in inside:
+            inside.add(id(x))
+        if x.marked or (x.up is not None and id(x.up) in below):
+            below.add(id(x))
+        elif x.tag != "a":
+            unmarked += sum(_size(d) for d in x.down if isinstance(d, str))
+    x = core
+    while x is not None:
+        path.add(id(x))
+        x = x.up
+    for x in nodes:
+        spared = 2 * x.plain > body.plain and not x.readers and (id(x) in inside if named_article else id(x) in path or 8 * unmarked < body.plain)
+        x.marked = x.marked and not spared
+    gone = set()
+    for x in nodes:
+        x.down = [d for d in x.down if isinstance(d, str) or not d.marked]
+        if x.marked or (x.up is not None and id(x.up) in gone):
+            gone.add(id(x))
+    return [x for x in roots if id(x) not in gone]
+
+
+def article_roots(page: str) -> list[Node]:
+    """The subtrees that are the article, in page order."""
+    root = parse(page)
+    body = next((d for d in root.down if not isinstance(d, str) and d.tag == "body"), root)
+    nodes = measure(body)
+    if body.chars == 0:
+        return []
+    body.up = None
+    roots, core, threshold = selected(nodes)
+    return _drop_marked(roots, nodes, core, threshold)
 
 
 def blocks(node: Node) -> list[str]:
