@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, exact_substrings, langid, mixing, quality, simhash, spans, token_output, warc
+from tidemark.llm.common import keyed
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, _did string, first_id int, kept_text string, mix_key string"
@@ -56,15 +57,15 @@ def key(r):
     return (r[0] is None, r[0] or 0)
 
 
-def th(spark, values):
-    """The hash that orders texts of one id."""
-    df = spark.createDataFrame([(v,) for v in values], "t string").select("t", F.hash("t").alias("h"))
-    return {r.t: r.h for r in df.collect()}
+def places(spark, rows):
+    """(id, text) -> what orders documents: null ids last, then id, then a hash of the text."""
+    df = keyed(spark.createDataFrame(list({r[:2] for r in rows}), "doc_id long, text string"), "doc_id", "text")
+    return {(r.doc_id, r.text): (r._th >= 0, r._did, r._th) for r in df.collect()}
 
 
 def test_spans(spark, docs, rows, empty):
-    order = th(spark, {r[1] for r in rows})
-    place = lambda r: (*key(r), order[r[1]])
+    order = places(spark, rows)
+    place = lambda r: order[r[:2]]
     first: dict = {}
     for r in rows:
         for h, low, a, _ in spans.spans(r[1] or ""):
@@ -82,6 +83,26 @@ def test_spans(spark, docs, rows, empty):
     assert spans.summary(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def clash(spark):
+    """Two texts with the same 32-bit hash: (one that repeats a passage, one that repeats nothing), both without an id."""
+    passage = "".join(f"Clause {k} of this passage says what nobody else says. " for k in range(8))
+    made = spark.range(300_000).select(F.concat(F.lit("first sort "), "id", F.lit(" " + passage)).alias("a"), F.concat(F.lit("second sort "), "id", F.lit(" alone with words that no other text has, " * 4)).alias("b"))
+    ones, twos = (made.select(F.hash(c).alias("h"), F.col(c)) for c in "ab")
+    hit = ones.join(twos, "h").orderBy("h").first()
+    return spark.createDataFrame([(1, passage), (None, hit.a), (None, hit.b)], "doc_id long, text string"), hit.b
+
+
+def test_texts_without_ids_dont_clash(clash):
+    docs, alone = clash
+    spared = {r.kept_text: r.n_removed for r in spans.deduplicated(docs).collect()}
+    assert spared[alone] == 0
+    assert sum(spared.values()) > 0
+    gone = {r.kept: r.n_removed for r in exact_substrings.deduplicated(docs).collect()}
+    assert gone[alone.encode()] == 0
+    assert sum(gone.values()) > 300
+
+
 def test_spans_catch_long_passages():
     rng = random.Random(5)
     for _ in range(200):
@@ -102,18 +123,18 @@ def window_starts(text: bytes, n: int):
 def test_exact_substrings(spark, docs, rows, empty, hot, monkeypatch):
     monkeypatch.setattr(exact_substrings.piece_rows, "__defaults__", (hot,))
     n = exact_substrings.LENGTH
-    order = th(spark, {r[1] for r in rows})
+    order = places(spark, rows)
     first: dict = {}
     for r in rows:
         for k, w in enumerate(window_starts((r[1] or "").encode(), n)):
-            at = (*key(r), order[r[1]], k)
+            at = (*order[r[:2]], k)
             first[w] = min(first.get(w, at), at)
     want = []
     for r in rows:
         t = (r[1] or "").encode()
         gone = np.zeros(len(t) + 1, bool)
         for k, w in enumerate(window_starts(t, n)):
-            if first[w] != (*key(r), order[r[1]], k):
+            if first[w] != (*order[r[:2]], k):
                 gone[k : k + n] = True
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())

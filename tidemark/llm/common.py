@@ -24,6 +24,38 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if a scan gives it fewer than two splits a core.
+
+    Such a table is small, or has few and large row groups, which leave most splits empty. A larger
+    one, or one that was shuffled before, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    query = df._jdf.queryExecution()
+    if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores)
+
+
+#: Sign bit of a long.
+_SIGN = -(1 << 63)
+
+
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """``docs`` with _did and _th, which together tell documents apart, and ``more`` of their columns.
+
+    With an id: the id and 63 bits of a hash of the text, _th negative. Without: 127 bits of hashes of the
+    text, _th not negative. Order is by (_th >= 0, _did, _th): null ids last.
+    """
+    text = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    did = F.col("doc_id").cast("long")
+    return docs.select(
+        *[F.col(f"`{c}`") for c in more],
+        F.coalesce(did, F.xxhash64(F.lit("no id"), F.col("text"))).alias("_did"),
+        F.when(did.isNull(), text).otherwise(text.bitwiseOR(F.lit(_SIGN).cast("long"))).alias("_th"),
+    )
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -18,8 +18,8 @@ documents by a join.
 
 Cases. Null or empty text has no sentences; null stays null. Texts with too few sentences or
 words have no spans and stay whole. Rows with equal id and text are one document: none of
-them loses to the other. Rows of one id with other texts are told apart by a hash of the
-text and ordered by it. Null ids come last. An empty table gives no rows. Extra columns are
+them loses to the other. Rows of one id with other texts are told apart by 63 bits of a hash of the
+text and ordered by it. Null ids come last, told apart and ordered by 127 bits of their texts' hashes. An empty table gives no rows. Extra columns are
 kept by ``deduplicated``, whatever their names.
 """
 
@@ -33,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, keyed, only, slices, spread
 
 SENTENCES, WORDS, LONG, NEAR = 3, 25, 16, 2
 BUFFER = 300_000
 _WORD = re.compile(r"\S+")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-NO_ID = (1 << 63) - 1
 
 
 def _pieces(text: str) -> tuple[list[tuple[int, int]], list[bytes], np.ndarray]:
@@ -120,7 +119,8 @@ _KEYS = 2
 
 def later_ones(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts rows by hash and place; (sorted rows, which of them aren't at their hash's first place)."""
-    rows = rows[:, np.lexsort(rows[4::-1])]
+    high, low, did, th, first = rows[:5]
+    rows = rows[:, np.lexsort((first, th, did, th >= 0, low, high))]
     if not rows.shape[1]:
         return rows, np.zeros(0, bool)
     new = np.concatenate([[True], (rows[:_KEYS, 1:] != rows[:_KEYS, :-1]).any(axis=0)])
@@ -128,21 +128,21 @@ def later_ones(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, (rows[_KEYS:5] != rows[_KEYS:5, first]).any(axis=0)
 
 
-ROWS = "high long, low int, did long, th int, first int, n int"
+ROWS = "high long, low int, did long, th long, first int, n int"
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
     """Spans that may be first, and pre-aggregated removals (low = null)."""
-    schema = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("did", pa.int64()), ("th", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("high", pa.int64()), ("low", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
     def settle(held: list[np.ndarray]):
         rows, later = later_ones(np.concatenate(held, axis=1))
         keep, drop = rows[:, ~later], rows[:, later]
-        yield batch(schema, high=pa.array(keep[0]), low=pa.array(keep[1].astype(np.int32)), did=pa.array(keep[2]), th=pa.array(keep[3].astype(np.int32)), first=pa.array(keep[4].astype(np.int32)), n=pa.array(keep[5].astype(np.int32)))
+        yield batch(schema, high=pa.array(keep[0]), low=pa.array(keep[1].astype(np.int32)), did=pa.array(keep[2]), th=pa.array(keep[3]), first=pa.array(keep[4].astype(np.int32)), n=pa.array(keep[5].astype(np.int32)))
         if drop.shape[1]:
             # dealt by document and sentence, not by the hash
             part = (drop[2] * 0x9E3779B1 + drop[4] * 0x85EBCA77).astype(np.int64)
-            yield batch(schema, high=pa.array(part), low=pa.nulls(len(part), pa.int32()), did=pa.array(drop[2]), th=pa.array(drop[3].astype(np.int32)), first=pa.array(drop[4].astype(np.int32)), n=pa.array(drop[5].astype(np.int32)))
+            yield batch(schema, high=pa.array(part), low=pa.nulls(len(part), pa.int32()), did=pa.array(drop[2]), th=pa.array(drop[3]), first=pa.array(drop[4].astype(np.int32)), n=pa.array(drop[5].astype(np.int32)))
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -160,22 +160,17 @@ def span_rows(docs: DataFrame) -> DataFrame:
         if held:
             yield from settle(held)
 
-    return arrow_map(keyed(docs).select("_did", "_th", "text"), run, ROWS)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _did (null ids last) and _th, a hash that tells texts of one id apart."""
-    return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.hash("text")})
+    return arrow_map(keyed(spread(docs), "text").select("_did", "_th", "text"), run, ROWS)
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """did, th, first, n: sentences covered by spans that aren't first."""
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
     dealt = span_rows(docs).repartition("high").sortWithinPartitions("high").select("high", "low", "did", "th", "first", "n")
 
     def out(rows: np.ndarray):
         if rows.shape[1]:
-            yield batch(schema, did=pa.array(rows[2]), th=pa.array(rows[3].astype(np.int32)), first=pa.array(rows[4].astype(np.int32)), n=pa.array(rows[5].astype(np.int32)))
+            yield batch(schema, did=pa.array(rows[2]), th=pa.array(rows[3]), first=pa.array(rows[4].astype(np.int32)), n=pa.array(rows[5].astype(np.int32)))
 
     def run(batches):
         held = np.zeros((6, 0), np.int64)
@@ -192,7 +187,7 @@ def removals(docs: DataFrame) -> DataFrame:
         rows, later = later_ones(held)
         yield from out(rows[:, later])
 
-    return arrow_map(dealt, run, "did long, th int, first int, n int")
+    return arrow_map(dealt, run, "did long, th long, first int, n int")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -232,7 +227,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # inner names by place, so no column of ``docs`` can be taken for one of ours
     inner = docs.select(*[F.col(f"`{c}`").alias({"doc_id": "doc_id", "text": "text"}.get(c, f"c{k}")) for k, c in enumerate(docs.columns)])
     cut = removed_spans(only(docs, "doc_id", "text"))
-    joined = keyed(inner).join(cut, (F.col("_did") == F.col("r_did")) & (F.col("_th") == F.col("r_th")), "left").select(*inner.columns, "r_runs")
+    joined = keyed(inner, *inner.columns).join(cut, (F.col("_did") == F.col("r_did")) & (F.col("_th") == F.col("r_th")), "left").select(*inner.columns, "r_runs")
     at = docs.columns.index("text")
     columns = docs.columns
     own = len(columns)
