@@ -87,7 +87,7 @@ def test_spans(spark, docs, rows, empty):
 def clash(spark):
     """Two texts with the same 32-bit hash: (one that repeats a passage, one that repeats nothing), both without an id."""
     passage = "".join(f"Clause {k} of this passage says what nobody else says. " for k in range(8))
-    made = spark.range(300_000).select(F.concat(F.lit("first sort "), "id", F.lit(" " + passage)).alias("a"), F.concat(F.lit("second sort "), "id", F.lit(" alone with words that no other text has, " * 4)).alias("b"))
+    made = spark.range(300_000).select(F.concat(F.lit("first sort "), "id", F.lit(" " + passage)).alias("a"), F.concat(F.lit("second sort "), "id", F.lit(" ".join(f" alone{k} with{k * k}" for k in range(20)))).alias("b"))
     ones, twos = (made.select(F.hash(c).alias("h"), F.col(c)) for c in "ab")
     hit = ones.join(twos, "h").orderBy("h").first()
     return spark.createDataFrame([(1, passage), (None, hit.a), (None, hit.b)], "doc_id long, text string"), hit.b
@@ -121,7 +121,11 @@ def window_starts(text: bytes, n: int):
 
 @pytest.mark.parametrize("hot", [exact_substrings.HOT, 1])
 def test_exact_substrings(spark, docs, rows, empty, hot, monkeypatch):
-    monkeypatch.setattr(exact_substrings.piece_rows, "__defaults__", (hot,))
+    monkeypatch.setattr(exact_substrings, "HOT", hot)
+    if hot == 1:
+        # every hash that is seen is treated as common
+        monkeypatch.setattr(exact_substrings, "SAMPLE", 1.0)
+        monkeypatch.setattr(exact_substrings, "COMMON", 1)
     n = exact_substrings.LENGTH
     order = places(spark, rows)
     first: dict = {}
