@@ -14,6 +14,10 @@ Everything here is DataFrame operations; the driver only steers the bisection.
    hash into blocks of about ``block_rows``; each pass over the source is a new permutation
    of its blocks and of the documents in each. The budget buys whole passes, then blocks of
    the next pass in its order as far as it reaches, and documents of the block it ends in.
+4. The mixture's order: a block stands at its source's progress, (pass + place of the block in
+   the pass) by the passes that the budget buys, so that every stretch of the mixture has the sources in their
+   weights; inside a block, documents by their permutation. ``mixture`` numbers rows by it, from
+   counts of blocks and of superblocks.
 
 Budget: ``budget_tokens``, or with None the smallest at which every source is taken whole
 at least once, so that nothing is lost.
@@ -33,6 +37,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +47,8 @@ from tidemark.session import materialise
 
 TARGET_ENTROPY, MAX_EPOCHS = 0.9985, 4.0
 BLOCK_ROWS, SUPER = 1000, 256
+#: Parts of the mixture in which blocks are numbered.
+STRETCHES = 4096
 STEPS, POINTS = 10, 15
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -125,16 +132,17 @@ def mix_weights(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY,
 
 
 def mix_plan(docs: DataFrame, weights: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of the mixture as doc_id, source, key (hash of id and text), epoch, block and place.
+    """The rows of the mixture as doc_id, source, key (hash of id and text), words, block, epoch, at and place.
 
-    ``place`` orders the mixture: a row's share of its source's pass, so sources interleave.
+    ``at`` orders blocks in the mixture: progress in their source. ``place`` orders the rows of a block.
     """
     weights = materialise(weights, "weights")
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_column).cast("string"), F.lit("~")), F.coalesce(F.md5("text"), F.lit("~"))))
     rows = docs.select(F.col(id_column).alias("doc_id"), "source", key.alias("key"), n_words().alias("words"))
     join = F.col("source").eqNullSafe(F.col("src"))
     # one row for each source; beyond the size that Spark broadcasts by itself it is a shuffled join
-    placed = rows.join(weights.select("src", "passes", "left", "blocks"), join).withColumn("block", F.floor(unit_hash(F.lit("block"), F.col("key")) * F.col("blocks")).cast("long"))
+    reach = F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(F.lit(1.0))
+    placed = rows.join(weights.select("src", "passes", "left", "blocks", reach.alias("reach")), join).withColumn("block", F.floor(unit_hash(F.lit("block"), F.col("key")) * F.col("blocks")).cast("long"))
     placed = materialise(placed.drop("src"), "placed")
 
     # the pass that the budget doesn't buy whole: blocks in a permuted order, summed in two levels
@@ -158,18 +166,19 @@ def mix_plan(docs: DataFrame, weights: DataFrame, id_column: str = "doc_id") ->
     cut = taken.where("not whole")
     running = F.sum("words").over(Window.partitionBy("source", "block").orderBy(unit_hash(F.lit("row"), F.col("passes"), F.col("key")), "key").rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn("run", F.coalesce(running, F.lit(0))).where(F.col("before") + F.col("run") < F.col("left"))
-    columns = ["doc_id", "source", "key", "words", "block"]
+    columns = ["doc_id", "source", "key", "words", "block", "reach"]
     partial = taken.where("whole").select(*columns, F.col("passes").alias("epoch")).unionByName(cut.select(*columns, F.col("passes").alias("epoch")))
     full = placed.where("passes > 0").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).alias("epoch"))
     out = full.unionByName(partial)
     block_place = unit_hash(F.lit("pass"), F.col("source"), F.col("epoch"), F.col("block"))
-    return out.withColumn("block_place", block_place).withColumn("place", unit_hash(F.lit("row"), F.col("epoch"), F.col("key")))
+    return out.withColumn("at", (F.col("epoch") + block_place) / F.col("reach")).withColumn("place", unit_hash(F.lit("row"), F.col("epoch"), F.col("key"))).drop("reach")
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_epochs: float | None = MAX_EPOCHS, budget_tokens: int | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with the same columns.
 
-    Rows that repeat an id and a text have the same number of copies each.
+    Rows that repeat an id and a text have the same number of copies each. The rows' order is not
+    among those columns; ``scattered`` gives one for what is written of them.
     """
     plan = mix_plan(docs, mix_weights(docs, target_entropy, max_epochs, budget_tokens))
     own, k, times, copy = free_names(docs, "mix_key", "mix_of", "mix_times", "mix_copy")
@@ -180,8 +189,36 @@ def mixed_documents(docs: DataFrame, target_entropy: float | None = TARGET_ENTRO
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def positions(plan: DataFrame) -> DataFrame:
+    """``plan`` with position, a row's number in the mixture from 0."""
+    rows = materialise(plan, "mixture-rows")
+    block = ["source", "epoch", "block"]
+    name = F.coalesce("source", F.lit("~"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("place", "key")) - 1
+    stretch = F.floor(F.least("at", F.lit(1.0)) * STRETCHES)
+    blocks = materialise(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).withColumn("stretch", stretch), "mixture-blocks")
+    # one row for each stretch, at most STRETCHES and one
+    ahead = blocks.groupBy("stretch").agg(F.sum("n").alias("sn")).select(F.col("stretch").alias("s1"), F.coalesce(F.sum("sn").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sb"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("stretch").orderBy("at", name, "epoch", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = blocks.withColumn("in", before).join(ahead, F.col("stretch") == F.col("s1")).select(F.col("source").alias("s2"), F.col("epoch").alias("e2"), F.col("block").alias("b2"), (F.col("sb") + F.col("in")).alias("first"))
+    joined = rows.withColumn("inside", inside).join(numbered, F.col("source").eqNullSafe(F.col("s2")) & (F.col("epoch") == F.col("e2")) & (F.col("block") == F.col("b2")))
+    return joined.withColumn("position", (F.col("first") + F.col("inside")).cast("long")).drop("s2", "e2", "b2", "first", "inside")
+
+
 def mixture(docs: DataFrame, **targets) -> DataFrame:
-    """Per row of the mixture: doc_id, source, epoch, block, its words and the source's weight and budget."""
+    """Per row of the mixture: its position, doc_id, source, epoch, block, its words and the source's weight and budget."""
     weights = materialise(mix_weights(docs, **targets), "mix-weights")
-    plan = mix_plan(docs, weights)
-    return plan.join(weights.select("src", "weight", "budget"), F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "source", "epoch", "block", F.col("words").alias("n_words"), F.round("weight", 9).alias("weight"), "budget")
+    plan = positions(mix_plan(docs, weights))
+    return plan.join(weights.select("src", "weight", "budget"), F.col("source").eqNullSafe(F.col("src"))).select("position", "doc_id", "source", "epoch", "block", F.col("words").alias("n_words"), F.round("weight", 9).alias("weight"), "budget")
+
+
+def scattered(docs: DataFrame) -> Column:
+    """An order for the rows of a mixture that were written: by a hash of file and row, so copies of a document lie apart.
+
+    The rows must be read from files; others go by their partition and place in it.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return unit_hash(F.lit("row"), F.monotonically_increasing_id())
+    return unit_hash(F.lit("row"), F.col("_metadata.file_name"), F.col("_metadata.row_index"))

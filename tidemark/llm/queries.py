@@ -117,13 +117,19 @@ def _mixing_sql(target_entropy: float, max_epochs: float, block_rows: int) -> st
         raw AS (SELECT src.*, CASE WHEN share > 0 THEN pow(share, a) ELSE 0.0 END AS r FROM src, a),
         w AS (SELECT source, n_rows, tokens, r / sum(r) OVER () AS weight, CAST(round(r * coalesce(max(CASE WHEN share > 0 THEN tokens / r END) OVER (), 0)) AS BIGINT) AS budget FROM raw),
         b AS (SELECT *, CAST(CASE WHEN tokens > 0 THEN floor(budget / tokens) ELSE 1 END AS BIGINT) AS passes, CAST(greatest(1, ceil(n_rows / {block_rows}.0)) AS BIGINT) AS blocks FROM w),
-        placed AS (SELECT d.*, b.weight, b.budget, b.passes, CASE WHEN b.tokens > 0 THEN b.budget - b.passes * b.tokens ELSE 0 END AS left_over,
+        placed AS (SELECT d.*, b.weight, b.budget, b.passes, b.tokens, CASE WHEN b.tokens > 0 THEN b.budget - b.passes * b.tokens ELSE 0 END AS left_over,
                           CAST(floor({unit.format("'block:' || key")} * b.blocks) AS BIGINT) AS block
                    FROM words d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
         tail AS (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY source ORDER BY {unit.format("'pass:' || coalesce(source, '~') || ':' || passes || ':' || block")}, block, {unit.format("'row:' || passes || ':' || key")}, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-                 FROM placed WHERE left_over > 0)
-        SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, n_words, round(weight, 9) AS weight, budget FROM placed, unnest(range(passes)) AS t(epoch)
-        UNION ALL SELECT doc_id, source, passes, block, n_words, round(weight, 9), budget FROM tail WHERE before < left_over"""
+                 FROM placed WHERE left_over > 0),
+        taken AS (
+            SELECT doc_id, source, CAST(epoch AS BIGINT) AS epoch, block, n_words, weight, budget, key, tokens FROM placed, unnest(range(passes)) AS t(epoch)
+            UNION ALL SELECT doc_id, source, passes, block, n_words, weight, budget, key, tokens FROM tail WHERE before < left_over),
+        ordered AS (
+            SELECT *, (epoch + {unit.format("'pass:' || coalesce(source, '~') || ':' || epoch || ':' || block")}) / CASE WHEN tokens > 0 THEN budget / tokens ELSE 1.0 END AS progress,
+                   {unit.format("'row:' || epoch || ':' || key")} AS place FROM taken)
+        SELECT row_number() OVER (ORDER BY progress, coalesce(source, '~'), epoch, block, place, key) - 1 AS position,
+               doc_id, source, epoch, block, n_words, round(weight, 9) AS weight, budget FROM ordered"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -187,8 +187,11 @@ class TokenFileReader:
             k = stop
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | None = None) -> DataFrame:
-    """Writes the files and returns their manifest, one row for each file, in order of ``part``."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | None = None, order: Column | None = None) -> DataFrame:
+    """Writes the files and returns their manifest, one row for each file, in order of ``part``.
+
+    Documents are in ascending order of id, or of ``order``, an expression over the columns of ``docs``.
+    """
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "tokens")
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -205,9 +208,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | No
             writer.close()
             yield batch(schema, part=[part], path=[uri], n_docs=[len(writer.docs)], n_ids=[writer.n_ids])
 
-    rows = only(docs, "doc_id", "text")
-    order = F.col("doc_id").asc_nulls_last()
-    return materialise(arrow_map(rows.repartitionByRange(order).sortWithinPartitions(order, "text"), write, MANIFEST), "token-manifest")
+    if order is None:
+        rows, first = only(docs, "doc_id", "text"), F.col("doc_id").asc_nulls_last()
+    else:
+        rows, first = docs.select("doc_id", "text", order.alias("_order")), F.col("_order").asc()
+    dealt = rows.repartitionByRange(first).sortWithinPartitions(first, "text").select("doc_id", "text")
+    return materialise(arrow_map(dealt, write, MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -234,7 +240,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return arrow_map(files.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2), "path"), read, TOKENS)
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, order: Column | None = None) -> DataFrame:
     """Write, read back, and place every document."""
-    manifest = write_tokens(docs, tokenizer, end_id)
+    manifest = write_tokens(docs, tokenizer, end_id, order=order)
     return read_tokens(manifest)
