@@ -195,7 +195,7 @@ def test_gray_index():
 
 def test_decontamination(spark, docs, rows, empty):
     passage = next(r[1] for r in rows if r[0] == 5 and not r[1].startswith("another"))
-    items = [(1, " ".join(passage.split()[10:40])), (2, "one"), (3, None), (4, " .. "), (None, "one"), (1, " ".join(passage.split()[10:40])), (12, "ONE")]
+    items = [(1, " ".join(passage.split()[10:40])), (2, "one"), (3, None), (4, " .. "), (None, "one"), (None, " ".join(passage.split()[50:70])), (1, " ".join(passage.split()[10:40])), (12, "ONE")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, spans string")
 
     def words(t):
@@ -204,9 +204,9 @@ def test_decontamination(spark, docs, rows, empty):
     windows: dict = {}
     for i, t in items:
         w = words(t)
-        if i is not None:
-            for k in range(max(1, len(w) - 9) if w else 0):
-                windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            # an item without an id marks words, but can't be named
+            windows.setdefault(tuple(w[k : k + 10]), set()).update(() if i is None else (str(i),))
     want = []
     for r in rows:
         w, hit, found = words(r[1]), set(), set()
@@ -223,7 +223,10 @@ def test_decontamination(spark, docs, rows, empty):
     for r in scanned.where("n_hit > 0").collect():
         hits = [" ".join(words(t[s.start : s.end])) for i, t in texts_of if i == r.doc_id and t for s in r.spans]
         assert any(len(h.split()) == r.n_hit for h in hits) or sum(len(h.split()) for h in hits) >= r.n_hit
-    assert decontaminate.clean_documents(docs, bench).count() == sum(not w[-1] for w in want)
+    for room in (decontaminate.MAX_PATTERN_BYTES, 1):
+        clean = decontaminate.clean_documents(docs, bench, max_pattern_bytes=room)
+        assert clean.columns == docs.columns
+        assert clean.count() == sum(not w[-1] for w in want)
     assert decontaminate.scan_documents(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.scan_documents(empty, bench).count() == 0
 
