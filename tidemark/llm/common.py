@@ -61,6 +61,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """Texts of a column. Bytes that are no UTF-8 become U+FFFD; Arrow's own conversion would fail on them."""
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, to bound what a worker holds beside its input."""
     for b in batches:

@@ -36,7 +36,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import arrow_map, batch, only, slices
+from tidemark.llm.common import arrow_map, batch, only, slices, spread, strings
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -436,7 +436,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, 500):
-            texts = [main_text(h) for h in b.column(2).to_pylist()]
+            texts = [main_text(h) for h in strings(b.column(2))]
             yield batch(schema, page_id=b.column(0), url=b.column(1), text=texts, n_chars=list(map(len, texts)))
 
-    return arrow_map(only(pages, "page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")
+    return arrow_map(spread(only(pages, "page_id", "url", "html")), run, "page_id long, url string, text string, n_chars long")

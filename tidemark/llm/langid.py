@@ -10,7 +10,7 @@ The language with the largest corrected count wins; its share of n is the score.
 N-grams are windows of ``GRAM`` bytes of the lower-cased text with everything ASCII but
 letters as single blanks. A language's set is its ``TOP`` most frequent n-grams in the rows
 it is learned from: a sample of at most about ``FIT_ROWS`` labelled rows, picked by a hash
-of doc_id. Languages beyond 64 take further mask columns.
+of doc_id, and never more than twice a language's share of that. Languages beyond 64 take further mask columns.
 
 Cases. Null text, or text without a letter, is ``und`` with score 0. If nothing was learned
 every text is ``und``. A text none of whose n-grams is known gets the language of the most
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import arrow_map, batch, only, slices
+from tidemark.llm.common import arrow_map, batch, only, slices, spread, strings
 from tidemark.session import materialise
 
 GRAM, HASHES, SLOT_BITS = 4, 3, 18
@@ -138,13 +138,16 @@ def fit_filters(docs: DataFrame, fit_rows: int = FIT_ROWS, top: int = TOP) -> La
     pick = F.lit(False)
     for lang, n in sorted(sizes.items()):
         pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, int(-(-n // share))))) == 0))
-    sample = materialise(rows.where(pick).select("lang", "text"), "langid-sample") if sizes else rows.select("lang", "text").limit(0)
+    # rows of one id, which share a hash, can't make the sample larger than that
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text"))
+    bounded = rows.where(pick).withColumn("rank", rank).where(F.col("rank") <= int(2 * share) + 1)
+    sample = materialise(bounded.select("lang", "text"), "langid-sample") if sizes else rows.select("lang", "text").limit(0)
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         for b in slices(batches):
             by: dict[str, list[bytes]] = {}
-            for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for lang, t in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 by.setdefault(lang, []).append(normal(t))
             for lang, texts in by.items():
                 g, n = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
@@ -163,8 +166,8 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            names, scores = shared.value.decide(b.column(2).to_pylist())
+            names, scores = shared.value.decide(strings(b.column(2)))
             yield batch(schema, doc_id=b.column(0), held_out=b.column(1), lang_pred=names, score=scores)
 
-    rows = only(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text")
+    rows = spread(only(docs, "doc_id", "text")).select("doc_id", held_out().alias("held_out"), "text")
     return arrow_map(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

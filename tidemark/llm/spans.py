@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, free_names, keyed, only, slices, spread
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, keyed, only, slices, spread, strings
 
 SENTENCES, WORDS, LONG, NEAR = 3, 25, 16, 2
 BUFFER = 300_000
@@ -148,7 +148,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
         for b in slices(batches):
-            for did, th, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for did, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
                 found = span_table(text or "")
                 n = found.shape[1]
                 if n:
@@ -235,7 +235,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            rows = [apply_runs(t, r) for t, r in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), strict=True)]
+            rows = [apply_runs(t, r) for t, r in zip(strings(b.column(at)), b.column(own).to_pylist(), strict=True)]
             more = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), added, strict=True)] if rows else [pa.nulls(0, f.type) for f in added]
             yield pa.RecordBatch.from_arrays([*b.columns[:own], *more], names=[*columns, *new.values()])
 

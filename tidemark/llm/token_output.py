@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import simple8b
-from tidemark.llm.common import arrow_map, batch, only
+from tidemark.llm.common import arrow_map, batch, only, strings
 from tidemark.llm.tokenizing import encoder
 from tidemark.session import materialise, new_dir
 
@@ -201,7 +201,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str | No
         part, enc, writer = TaskContext.get().partitionId(), encoder(tokenizer), None
         uri = f"{out_dir}/part-{part:06d}-{uuid.uuid4().hex[:8]}.tdtk"
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), strings(b.column(1)), strict=True):
                 writer = writer or TokenFileWriter(uri)
                 writer.add(doc_id, (enc.ids(text) if text else b"") + tail)
         if writer:
