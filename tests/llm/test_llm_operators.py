@@ -369,3 +369,75 @@ def test_mixing(spark, docs, empty):
     budgeted = mixing.mixture(skewed, target_entropy=0.9, max_epochs=None, budget_tokens=30_000).groupBy("source").agg(F.sum("n_words").alias("n"), F.max("budget").alias("b"), F.max("epoch").alias("e")).collect()
     assert all(r.b <= r.n < r.b + 10 for r in budgeted)
     assert {r.source: r.e for r in budgeted}["rare"] > 2
+
+
+def test_code_points_have_classes():
+    table = quality.class_table()
+    for point in (*range(0x80), 0xE9, 0x3B1, 0x44F, 0x5D0, 0x628, 0x905, 0x4E2D, 0xAC00, 0x301, 0x2014, 0x20AC, 0x200B, 0x2003):
+        found = np.flatnonzero(quality.char_histogram(chr(point).encode())).tolist()
+        assert found == [quality.CLASSES.index(quality._class_of(point))] == [int(table[point])]
+    assert quality.char_histogram("𝒳🙂漢".encode()).sum() == 3
+    assert quality.char_histogram(b"\xff\xfe a").sum() == 4
+    cyrillic, greek = "слово и дело ".encode() * 20, "λόγος και έργο ".encode() * 20
+    assert float(quality.distance(quality.char_histogram(cyrillic), quality.char_histogram(greek))) > 0.7
+
+
+def brute_distance(a: dict, b: dict) -> float:
+    """Jensen-Shannon distance by its definition, from counts by name."""
+    import math
+
+    x, y = sum(a.values()), sum(b.values())
+    out = 0.0
+    for k in {*a, *b}:
+        p, q = a.get(k, 0) / x, b.get(k, 0) / y
+        m = (p + q) / 2
+        out += (p * math.log2(p / m) if p else 0) / 2 + (q * math.log2(q / m) if q else 0) / 2
+    return math.sqrt(max(0.0, out))
+
+
+def test_quality_distances_and_verdicts(spark):
+    """Distances and verdicts of every document by their definitions, from the references alone."""
+    from collections import Counter
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ref = quality.fit_references(d)
+    chars = [{c: n for c, n in zip(quality.CLASSES, row, strict=True) if n} for row in ref.chars.tolist()]
+    names = [*ref.common, None]
+    order = sorted(ref.common, key=ref.common.get)
+    words = [{w: n for w, n in zip([*order, None], row, strict=True) if n} for row in ref.words.tolist()]
+    assert len(names) == ref.words.shape[1]
+    texts = {r.doc_id: r for r in d.collect()}
+    for r in quality.score(d, ref).collect():
+        t, ok = texts[r.doc_id].text or "", True
+        char = word = 0.0
+        if texts[r.doc_id].lang not in ref.few and len(t) >= quality.CHAR_MIN_CHARS:
+            char = min(brute_distance(Counter(quality._class_of(ord(c)) for c in t), c) for c in chars)
+            ok = char <= quality.CHAR_FLOOR + quality.CHAR_SLACK / len(t) ** 0.5
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        if texts[r.doc_id].lang not in ref.few and len(w) >= quality.WORD_MIN_WORDS:
+            word = min(brute_distance(Counter(x.encode() if x.encode() in ref.common else None for x in w), c) for c in words)
+            ok = ok and word <= quality.WORD_FLOOR + quality.WORD_SLACK / len(w) ** 0.5
+        assert (r.char_distance, r.word_distance) == (pytest.approx(char, abs=1e-6), pytest.approx(word, abs=1e-6))
+        assert r.kept == (ok and not r.base_failed)
+
+
+def test_malformed_bytes(spark):
+    """Bytes that are no UTF-8 stop no operator."""
+    bad = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("cast(unhex('61FF62208020C3') as string)").alias("text"), F.lit("a").alias("lang"), F.lit("s").alias("source"))
+    bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    assert {r.n_words for r in quality.score(bad, quality.fit_references(bad)).collect()} == {3}
+    assert langid.identify(bad, langid.fit_filters(bad)).count() == 4
+    assert spans.deduplicated(bad).count() == 4
+    assert {r.n_bytes for r in exact_substrings.digest(bad).collect()} == {7}
+    assert decontaminate.scan_documents(bad, bench).count() == 4
+    assert simhash.near_duplicates(bad).select("component_id").distinct().count() == 1
+    assert token_output.token_table(bad, tokenizer_path()).count() == 4
+    assert mixing.mixture(bad).count() >= 4
+
+
+def test_mixture_positions(docs):
+    got = mixing.mixture(docs).toPandas()
+    assert sorted(got.position) == list(range(len(got)))
+    # blocks of a pass stand together
+    for _, g in got.groupby(["source", "epoch", "block"], dropna=False):
+        assert g.position.max() - g.position.min() == len(g) - 1
