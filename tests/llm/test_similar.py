@@ -53,10 +53,10 @@ def test_near_copies_of_pipeline(spark, hot, monkeypatch):
             break
         label = new
     want = [min((r[0] for r, x in zip(rows, label, strict=True) if x == c and r[0] is not None), default=None) for c in sorted(set(label.tolist()))]
-    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
-    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
 def test_bands_recall_at_the_threshold():

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices, utf8
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, only, slices, spread, utf8
 from tidemark.llm.components import components
 from tidemark.session import materialise
 
@@ -50,6 +50,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     else:
         runs = map(b" ".join, zip(*[w[k:] for k in range(shingle)], strict=False))
         h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, n - shingle + 1)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65280):
         bits = np.unpackbits(h[k : k + 65280].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -152,7 +157,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64)
             yield batch(schema, doc_id=b.column(0), fp=pa.array(fps.view(np.int64)), th=b.column(2))
 
-    return arrow_map(only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text")), run, "doc_id long, fp long, th long")
+    return arrow_map(spread(only(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text")), run, "doc_id long, fp long, th long")
 
 
 def _pair_keys(fp, width: int, shifts: list[int], prefix):
@@ -213,21 +218,28 @@ def bucket_edges(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
     return arrow_map(rows, run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp, th and root, the smallest fingerprint of its component."""
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp and th of each row of ``docs``; fp and root, the smallest fingerprint of its component, of each distinct fp)."""
     if not 0 <= radius <= 2:
         raise ValueError("two of four blocks agree up to 2 differing bits only")
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = prints.select("fp").distinct()
-    roots = components(bucket_edges(buckets(distinct), radius))
-    return prints.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "th", F.coalesce("root", "fp").alias("root"))
+    linked = components(bucket_edges(buckets(distinct), radius))
+    roots = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints, roots
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    groups = near_groups(docs, shingle, radius)
-    least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r")
-    return groups.join(least, F.col("root") == F.col("r")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id of every document.
+
+    Ids are brought together by distinct fingerprint, then by component, both with partial minima.
+    Rows get theirs by one join on the fingerprint, which can be split where very many rows have it.
+    """
+    prints, roots = near_groups(docs, shingle, radius)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = materialise(least.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "component-ids")
+    return prints.join(ids, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -235,16 +247,21 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RAD
 
     Rows that repeat that row's id and text are dropped too.
     """
-    return first_of_groups(docs, near_groups(docs, shingle, radius))
+    prints, roots = near_groups(docs, shingle, radius)
+    return first_of_groups(docs, prints.select("doc_id", "th", F.col("fp").alias("node")), roots.select(F.col("fp").alias("n"), "root"))
+
 
+def first_of_groups(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with the first row of each group.
 
-def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with the first row of each group; ``groups``: doc_id, th and root of its rows."""
+    ``rows``: doc_id, th and node of the rows; ``roots``: n, root of nodes. Minima are taken by
+    document, by node and then by group, so no task reads all rows of a node or group.
+    """
     one, two = free_names(docs, "first_id", "first_th")
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("k"))
-    first = materialise(first.select(F.col("k.doc_id").alias(one), F.col("k.th").alias(two)), "first-of-group")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"]) == F.col(two)), "left_semi")
-    # as many rows as groups, unless a row is repeated as it is
-    same = groups["doc_id"].eqNullSafe(F.col(one)) & (F.col("th") == F.col(two))
-    repeated = groups.join(first, same, "left_semi").count() > first.count()
+    times = rows.groupBy("node", "doc_id", "th").agg(F.count(F.lit(1)).alias("times"))
+    by_node = times.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "times")).alias("k"))
+    grouped = by_node.join(roots, F.col("node") == F.col("n"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
+    first = materialise(grouped.select(F.col("k.doc_id").alias(one), F.col("k.th").alias(two), "k.times"), "first-of-group")
+    repeated = not first.where("times > 1").isEmpty()
+    kept = docs.join(first.select(one, two), docs["doc_id"].eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"]) == F.col(two)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

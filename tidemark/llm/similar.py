@@ -5,9 +5,10 @@ Words are those of ``simhash``; a text's set holds its distinct runs of ``SHINGL
 if their sets have a similarity of at least ``SIMILARITY``; groups are the connected
 components.
 
-Two-bit SimHash can't find these: at a similarity of 0.8 two fingerprints differ in about 10
-of 64 bits. So each set gets ``BANDS`` independent fingerprints instead, each of the least
-values of ``ROWS`` hash functions over the set; a pair of similarity s agrees in one at least
+Candidates come from two indexes. SimHash fingerprints of the same shingles, linked at two bits by
+the Gray-order index of ``simhash``, give copies with little changed. They can't give the others: at a
+similarity of 0.8 two fingerprints differ in about 10 of 64 bits. So each set also gets ``BANDS``
+independent fingerprints of the least values of ``ROWS`` hash functions over the set; a pair of similarity s agrees in one at least
 with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8 and nearer to 1 above. What
 agrees is a candidate only: every link is checked on the two texts themselves.
 
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, only, slices, utf8
+from tidemark.llm.common import LOWER, arrow_map, batch, only, slices, spread, utf8
 from tidemark.llm.components import components
-from tidemark.llm.simhash import SEED, first_of_groups
+from tidemark.llm.simhash import SEED, bucket_edges, buckets, first_of_groups, majority
 from tidemark.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -47,13 +48,18 @@ _SALT = _RNG.integers(1, 2**62, BANDS, dtype=np.uint64)
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
+    return np.unique(all_shingles(text, shingle))
+
+
+def all_shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included."""
     import xxhash
 
     w = text.translate(LOWER).split()
     if len(w) <= shingle:
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED)] if w else [], np.uint64)
     runs = map(b" ".join, zip(*[w[k:] for k in range(shingle)], strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(w) - shingle + 1))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(w) - shingle + 1)
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -78,15 +84,17 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text) and the keys of its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, th (a hash of the text), its SimHash fingerprint (0 without words) and the keys of its bands."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches):
-            keys = np.concatenate([band_keys(shingles(t)) for t in utf8(b.column(1))])
-            yield batch(schema, doc_id=b.column(0), th=b.column(2), bands=pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys)))
+            found = [all_shingles(t) for t in utf8(b.column(1))]
+            keys = np.concatenate([band_keys(np.unique(h)) for h in found])
+            fp = np.array([majority(h) if len(h) else 0 for h in found], np.uint64).view(np.int64)
+            yield batch(schema, doc_id=b.column(0), th=b.column(2), fp=pa.array(fp), bands=pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys)))
 
-    return arrow_map(only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, bands array<long>")
+    return arrow_map(spread(only(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, fp long, bands array<long>")
 
 
 def cross_pairs(nodes: np.ndarray, roots: np.ndarray, key: int, last: bool, leaders: int, hot: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -142,6 +150,15 @@ def bucket_pairs(rows: DataFrame, round_: int) -> DataFrame:
     return arrow_map(dealt, run, "u long, v long, key long")
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs u, v of nodes in one star of the SimHash index: each with its fingerprint's first, and those with their root's."""
+    first = materialise(prints.groupBy("fp").agg(F.min("th").alias("first")), "simhash-nodes")
+    same = prints.select("th", "fp").distinct().join(first, "fp").where(F.col("th") != F.col("first")).select(F.col("th").alias("u"), F.col("first").alias("v"))
+    stars = components(bucket_edges(buckets(first.select("fp"))))
+    one, two = first.select(F.col("fp").alias("node"), F.col("first").alias("u")), first.select(F.col("fp").alias("root"), F.col("first").alias("v"))
+    return same.unionByName(stars.join(one, "node").join(two, "root").select("u", "v"))
+
+
 def checked(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs u, v (hashes of texts) that are similar, by their texts."""
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -170,14 +187,17 @@ def checked(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -
     return arrow_map(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b"), run, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of ``docs``: doc_id, th and root, the smallest th of its component."""
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th and node of each row of ``docs``; n and root, the smallest th of its component, of linked nodes)."""
     prints = materialise(sketches(docs), "sketches")
     rows = prints.groupBy("th").agg(F.first("bands").alias("bands")).select(F.col("th").alias("node"), F.explode("bands").alias("key"))
     edges = None
     links = rows.withColumn("root", F.col("node"))  # nothing is joined yet
     for k in range(LEADERS + 1):
-        pairs = materialise(bucket_pairs(links, k), "pairs")
+        pairs = bucket_pairs(links, k)
+        if k == 0:
+            pairs = pairs.unionByName(simhash_pairs(prints), allowMissingColumns=True)
+        pairs = materialise(pairs, "pairs")
         found = materialise(checked(docs, pairs, similarity), "links")
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
@@ -187,9 +207,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         # a bucket's nodes that one of its leaders met aren't all: those of the leader's component are there too
         left = rows.join(more, "key", "left_semi")
         links = left.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    return prints.join(roots, F.col("th") == F.col("node"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    return prints.select("doc_id", "th", F.col("th").alias("node")), roots.select(F.col("node").alias("n"), "root")
 
 
 def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group, chosen as by ``simhash.one_of_each_group``."""
-    return first_of_groups(docs, similar_groups(docs, similarity))
+    return first_of_groups(docs, *similar_groups(docs, similarity))
