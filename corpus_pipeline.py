@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import clean_documents
-from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.mixing import mixed_documents, scattered
 from tidemark.llm.quality import fit_references, passing_documents
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.similar import one_of_each_similar
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passing_documents(docs, fit_references(docs))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word similarity of 0.8 or more: the row with the smallest doc_id of each group stays."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3, widened to a five-word similarity of 0.8 or more: the row with the smallest doc_id of each group stays."""
     return one_of_each_similar(docs)
 
 
@@ -42,13 +42,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: token files in order of doc_id; their index."""
-    return token_table(docs, tokenizer_path(), end_id=2)
+    """Operator 7: token files in the mixture's order, copies of a document apart; their index."""
+    return token_table(docs, tokenizer_path(), end_id=2, order=scattered(docs))
 
 
 STAGES = [
     ("quality rules", quality),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("mixing sources to target weights", mix),
     ("token-ID / binary output", tokens),
