@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import acks, context, flow, grouping, stateless, windowing
-from tidemark.operators.failure import delegate, delegate_unless, emit, emit_unless, error_delegation, message_has, passing, route
+from tidemark.operators.failure import delegate, delegate_unless, emit, emit_unless, error_delegation, message_has, passing, process_failure, route
 from tidemark.sources import ranges, topics
 
 T0 = datetime(2024, 1, 1)
@@ -61,6 +61,23 @@ def test_failure_matrix(spark):
     assert {(r._error, r._suppressed) for r in settled.where("i = 2").collect()} == {("down", "boom")}
 
 
+def test_emitted_failures_survive_pruning(spark):
+    """An error that is to be emitted fails the query whatever columns it asks for."""
+    df = spark.createDataFrame([(1, "1"), (2, None), (3, "x")], "i int, v string").repartition(2)
+    mapped = stateless.map_rows(df, y=F.col("v"))
+    half = stateless.map_rows(df, F.when(F.col("i") == 3, "boom"), emit_unless(message_has("null result")), y=F.col("v"))
+    bad_cast = stateless.cast(df, "v", "int")
+    failed = process_failure(df, F.col("i") == 3, F.lit("bad"), emit())
+    refused = acks.nacked(df.withColumn("s", F.lit("nack")), "s", "emit")
+    for got in (mapped, half, bad_cast, failed, refused):
+        for run in (lambda d: d.count(), lambda d: d.select("i").collect(), lambda d: d.groupBy("i").count().collect(), lambda d: d.agg(F.max("i")).collect()):
+            with pytest.raises(Exception, match="null result|boom|no int|bad|nacked"):
+                run(got)
+    kept = stateless.cast(df, "v", "int", delegate())
+    assert {(r.i, r.v, r._ack) for r in kept.collect()} == {(1, 1, "ok"), (2, None, "ok"), (3, None, "nacked")}
+    assert stateless.map_rows(df, strategy=emit_unless(message_has("null result")), y=F.col("v")).where("_ack = 'ok'").count() == 2
+
+
 def test_rowwise(spark):
     df = stateless.just(spark, [(1, ["a", "b"]), (2, []), (3, None)], "i int, xs array<string>")
     assert [(r.i, r._place, r.x) for r in stateless.concat_map(df, F.col("xs"), "x").collect()] == [(1, 0, "a"), (1, 1, "b")]

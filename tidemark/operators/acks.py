@@ -108,7 +108,7 @@ def nacked(df: DataFrame, status: str, policy: str) -> DataFrame:
     """What a receiver does with nacked records: ``emit`` fails, ``requeue`` returns them, ``discard`` drops them."""
     bad = df.where(F.col(status) == "nack")
     if policy == "emit":
-        return bad.withColumn("_fail", F.raise_error(F.lit("record was nacked")))
+        return bad.where(F.when(F.col(status) == "nack", F.raise_error(F.lit("record was nacked")).cast("boolean")).otherwise(F.lit(True)))
     if policy == "requeue":
         return bad.withColumn("redelivered", F.lit(True))
     if policy == "discard":

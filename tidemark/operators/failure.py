@@ -30,10 +30,20 @@ class FailureStrategy:
     unless: Callable[[Column], Column] | None = None
 
     def status(self, error: Column) -> Column:
-        """Status of a row by its error message; emitting raises when the row is reached."""
-        ignored = F.coalesce(self.unless(error), F.lit(False)) if self.unless else F.lit(False)
-        failed = F.lit(NACKED) if self.delegates else F.raise_error(error)
-        return F.when(error.isNull(), F.lit(OK)).when(ignored, F.lit(DROPPED)).otherwise(failed)
+        """Status of a row by its error message."""
+        return F.when(error.isNull(), F.lit(OK)).when(self._ignored(error), F.lit(DROPPED)).otherwise(F.lit(NACKED))
+
+    def survives(self, error: Column) -> Column | None:
+        """A filter that fails the query at the first error to emit; None if none is emitted.
+
+        It is a filter because a projection or a count would prune it from a column.
+        """
+        if self.delegates:
+            return None
+        return F.when(error.isNotNull() & ~self._ignored(error), F.raise_error(error).cast("boolean")).otherwise(F.lit(True))
+
+    def _ignored(self, error: Column) -> Column:
+        return F.coalesce(self.unless(error), F.lit(False)) if self.unless else F.lit(False)
 
 
 def emit() -> FailureStrategy:
@@ -66,7 +76,9 @@ def message_has(*parts: str) -> Callable[[Column], Column]:
 
 def route(df: DataFrame, error: Column, strategy: FailureStrategy) -> DataFrame:
     """``df`` with ``_error`` and ``_ack`` (ok, acked_dropped or nacked)."""
-    return df.withColumn(NACK, error).withColumn(ACK, strategy.status(F.col(NACK)))
+    routed = df.withColumn(NACK, error).withColumn(ACK, strategy.status(F.col(NACK)))
+    survives = strategy.survives(F.col(NACK))
+    return routed if survives is None else routed.where(survives)
 
 
 def passing(df: DataFrame) -> DataFrame:

@@ -49,9 +49,11 @@ def of_type(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.withColumn(column, F.col(column).try_cast(kind)).where(F.col(column).isNotNull())
 
 
-def cast(df: DataFrame, column: str, kind: str) -> DataFrame:
-    """A bad value is a row's failure: ANSI cast, not try_cast."""
-    return df.withColumn(column, F.col(column).cast(kind))
+def cast(df: DataFrame, column: str, kind: str, strategy: FailureStrategy | None = None) -> DataFrame:
+    """A value that can't be cast is its row's failure, routed by ``strategy``; adds ``_error`` and ``_ack``."""
+    got = F.col(column).try_cast(kind)
+    error = F.when(F.col(column).isNotNull() & got.isNull(), F.concat(F.lit(f"no {kind}: "), F.col(column).cast("string")))
+    return route(df, error, strategy or emit()).withColumn(column, got)
 
 
 def consume(df: DataFrame, effect: Callable[[DataFrame], None]) -> DataFrame:

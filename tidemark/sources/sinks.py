@@ -9,6 +9,8 @@ raises the first error. ``transactional`` writes batches that appear whole or no
 from __future__ import annotations
 
 import os
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -70,17 +72,31 @@ def acknowledge_all(df: DataFrame) -> DataFrame:
 
 
 def folder_sink(folder: str, body: str = "value") -> Sink:
-    """Sends each row to a file queue; a null body is an error."""
+    """Sends each row to a file queue; a null body is an error.
+
+    A message's dedup id comes from the sink, the partition, the row's content and how many such rows came
+    before, so a task that runs again sends nothing twice.
+    """
+    plan = uuid.uuid4().hex
+    counted: dict[tuple, Counter] = {}
 
     def run(rows):
-        from tidemark.sources.queues import FileQueue, Message
+        from pyspark import TaskContext
+
+        from tidemark.sources.queues import FileQueue, Message, row_token
 
-        q = FileQueue(folder)
+        q, task = FileQueue(folder), TaskContext.get()
+        part = task.partitionId() if task else 0
+        # batches of one attempt go on counting
+        seen = counted.setdefault((part, task.taskAttemptId() if task else 0), Counter())
         for r in rows:
             if r[body] is None:
                 yield "null body"
                 continue
-            q.send(Message(str(r[body]), group_id=None if r.get("key") is None else str(r["key"])))
+            text, key = str(r[body]), None if r.get("key") is None else str(r["key"])
+            token = row_token(f"{plan}-{part}", text, key, seen[text, key])
+            seen[text, key] += 1
+            q.send(Message(text, group_id=key, dedup_id=token))
             yield None
 
     return run
