@@ -73,8 +73,12 @@ def test_spans(spark, docs, rows, empty):
     want = []
     for r in rows:
         cut = [{"first": a, "n": n} for h, low, a, n in spans.spans(r[1] or "") if first[h, low] != (*place(r), a)]
-        n, gone, kept, _ = spans.apply_runs(r[1], cut)
-        want.append((r[0], n, gone, kept))
+        found = spans.sentences(r[1] or "")
+        removed = {k for c in cut for k in range(c["first"], c["first"] + c["n"])}
+        ends = [x[0] for x in found[1:]] + [len(r[1] or "")] * bool(found)
+        # a sentence goes with the white space behind it
+        kept = r[1] and r[1][: found[0][0] if found else len(r[1])] + "".join(r[1][x[0] : e] for k, (x, e) in enumerate(zip(found, ends, strict=True)) if k not in removed)
+        want.append((r[0], len(found), len(removed), kept))
     done = spans.deduplicated(docs)
     assert done.columns[: len(docs.columns)] == docs.columns
     got = [(r.doc_id, r.n_sentences, r.n_removed, r.kept_text_0) for r in done.collect()]
@@ -103,6 +107,50 @@ def test_texts_without_ids_dont_clash(clash):
     assert sum(gone.values()) > 300
 
 
+def test_pieces_by_definition(rows):
+    """Cuts and spans of each text, one after another and all at once, against their definitions."""
+    import xxhash
+
+    texts = [r[1] or "" for r in rows]
+    together = spans.Pieces([t.encode() for t in texts])
+    spanned = together.span_rows()
+    seen: dict = {}
+    for t, text in enumerate(texts):
+        words = [(m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", text)]
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), text[a:b]).encode() for a, b in words]
+        h = [int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") for w in low]
+        n = len(words)
+        stop = [low[i][-1:] in (b".", b"!", b"?") or i + 1 == n or "\n" in text[words[i][1] : words[i + 1][0]] for i in range(n)]
+        cut = list(stop)
+        for i in range(2, n - 2):
+            if not any(stop[i - 2 : i + 2]) and h[i] < min(h[i - 2 : i]) and h[i] <= min(h[i + 1 : i + 3]):
+                cut[i] = True
+        pieces, begin = [], 0
+        for i in range(n):
+            if cut[i] or i + 1 - begin == spans.LONG:
+                pieces.append((begin, i + 1))
+                begin = i + 1
+        assert [(a, b) for a, b, _ in spans.sentences(text)] == [(words[a][0], words[b - 1][1]) for a, b in pieces]
+        want = set()
+        for i in range(len(pieces)):
+            for j in range(i + spans.SENTENCES, len(pieces) + 1):
+                if pieces[j - 1][1] - pieces[i][0] >= spans.WORDS:
+                    want.add((i, j - i))
+                    break
+        for j in range(len(pieces), 0, -1):
+            for i in range(j - spans.SENTENCES, -1, -1):
+                if pieces[j - 1][1] - pieces[i][0] >= spans.WORDS:
+                    want.add((i, j - i))
+                    break
+        mine = spanned[:, spanned[2] == t]
+        assert set(zip(mine[3].tolist(), mine[4].tolist(), strict=True)) == want
+        assert sorted(map(tuple, mine[[0, 1, 3, 4]].T.tolist())) == sorted(spans.spans(text))
+        for high, lo, _, a, k in mine.T.tolist():
+            content = b" ".join(low[pieces[a][0] : pieces[a + k - 1][1]])
+            assert seen.setdefault(content, (high, lo)) == (high, lo)
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_spans_catch_long_passages():
     rng = random.Random(5)
     for _ in range(200):

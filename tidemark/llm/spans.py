@@ -1,12 +1,12 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at line feeds, and
+Words are what stands between ASCII white space. A text is cut into sentences at ``.``, ``!`` or ``?`` before white space and at line feeds, and
 sentences into pieces after each word whose hash is the least of the ``NEAR`` words on either
 side. So a passage is cut alike wherever it stands, but for a few words at its ends. A piece of
 over ``LONG`` words, as repetition makes, is cut on after every ``LONG``. Below, sentences are
 these pieces. A span is a run of consecutive sentences, the shortest from each
 sentence on, and the shortest up to each, of at least ``SENTENCES`` sentences and ``WORDS``
-words. Every span is hashed (96 bits, from sums of its pieces' XXH3, words lower-cased and single-blanked) and
+words. Every span is hashed (96 bits, from sums of its words' XXH3 times powers, A-Z lower-cased) and
 joined globally. The first occurrence, by doc_id and then place, stays; sentences covered by
 any other are removed. What is removed is judged on the input.
 
@@ -25,92 +25,132 @@ kept by ``deduplicated``, whatever their names.
 
 from __future__ import annotations
 
-import re
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, arrow_map, batch, free_names, keyed, only, slices, spread, strings
+from tidemark.llm.common import LOWER, arrow_map, batch, free_names, keyed, only, slices, spread, utf8
 
 SENTENCES, WORDS, LONG, NEAR = 3, 25, 16, 2
 BUFFER = 300_000
-_WORD = re.compile(r"\S+")
+#: Bytes of documents that are cut at once.
+CHUNK = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def _pieces(text: str) -> tuple[list[tuple[int, int]], list[bytes], np.ndarray]:
-    """(places of the words in code points, the words lower-cased, word numbers at which pieces begin and the last ends)."""
-    places = [m.span() for m in _WORD.finditer(text)]
-    n = len(places)
-    if not n:
-        return [], [], np.zeros(1, np.int64)
-    low = " ".join(text.split()).encode().translate(LOWER).split(b" ")
-    end = np.fromiter((w[-1] in b".!?" for w in low), bool, n)
-    if "\n" in text:
-        end[:-1] |= np.fromiter(("\n" in text[a[1] : b[0]] for a, b in zip(places, places[1:], strict=False)), bool, n - 1)
-    end[-1] = True
-    if n > 2 * NEAR:
-        h = np.fromiter(map(zlib.crc32, low), np.int64, n)
-        mid = h[NEAR : n - NEAR]
-        least = np.ones(len(mid), bool)
-        for k in range(1, NEAR + 1):
-            least &= (mid < h[NEAR - k : n - NEAR - k]) & (mid <= h[NEAR + k : n - NEAR + k])
-        sentence = np.cumsum(end) - end
-        end[NEAR : n - NEAR] |= least & (sentence[: n - 2 * NEAR] == sentence[2 * NEAR :])
-    cut = np.concatenate([[0], np.flatnonzero(end) + 1])
-    if (np.diff(cut) > LONG).any():
-        cut = np.array([k for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False) for k in range(a, b, LONG)] + [n])
-    return places, low, cut
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+_STOP = np.isin(np.arange(256), list(b".!?"))
+
+
+class _Powers:
+    """Powers of the bases and of their inverses, modulo 2^64, as far as they were needed."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, np.uint64)] * 4
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) <= n:
+            size = max(n + 1, 2 * len(self.tables[0]), 1 << 16)
+            bases = (*_BASES, *(pow(b, -1, 1 << 64) for b in _BASES))
+            self.tables = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in bases]
+        return self.tables
+
+
+_POWERS = _Powers()
+
+
+class Pieces:
+    """Several texts (UTF-8) cut into sentences and these into pieces, all at once."""
+
+    def __init__(self, texts: list[bytes]):
+        import xxhash
+
+        joined = b"\n".join(texts)
+        low = joined.translate(LOWER)
+        #: where each text begins in ``joined``
+        self.begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        x = np.frombuffer(b"\n" + low + b"\n", np.uint8)
+        space = _SPACE[x]
+        self.starts = np.flatnonzero(space[:-1] & ~space[1:])
+        self.ends = np.flatnonzero(~space[:-1] & space[1:])
+        n = len(self.starts)
+        self.marks = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, low.split())), "<u8").reshape(-1, 2)
+        if n:
+            end = _STOP[x[self.ends]]
+            lines = np.cumsum(x == 10)
+            end[:-1] |= lines[self.ends[:-1]] != lines[self.starts[1:]]
+            end[-1] = True
+            if n > 2 * NEAR:
+                h = self.marks[:, 0]
+                mid = h[NEAR : n - NEAR]
+                least = np.ones(len(mid), bool)
+                for k in range(1, NEAR + 1):
+                    least &= (mid < h[NEAR - k : n - NEAR - k]) & (mid <= h[NEAR + k : n - NEAR + k])
+                sentence = np.cumsum(end) - end
+                end[NEAR : n - NEAR] |= least & (sentence[: n - 2 * NEAR] == sentence[2 * NEAR :])
+            cut = np.concatenate([[0], np.flatnonzero(end) + 1])
+            size = np.diff(cut)
+            if (size > LONG).any():
+                parts = -(-size // LONG)
+                within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                cut = np.append(np.repeat(cut[:-1], parts) + LONG * within, n)
+        else:
+            cut = np.zeros(1, np.int64)
+        #: word numbers at which pieces begin, and the last ends
+        self.cut = cut
+        # a text's pieces: first[t] to first[t + 1]
+        self.first = np.searchsorted(self.starts[cut[:-1]] if n else cut[:0], self.begin)
+
+    def span_rows(self) -> np.ndarray:
+        """Columns high and low part of the hash, text, its first piece and number of pieces of every span."""
+        m = len(self.cut) - 1
+        if m < SENTENCES:
+            return np.zeros((5, 0), np.int64)
+        i = np.arange(m + 1)
+        at = self.cut
+        text = np.searchsorted(self.first, i[:-1], side="right") - 1
+        ahead = np.maximum(np.searchsorted(at, at[:-1] + WORDS), i[:-1] + SENTENCES)
+        back = np.minimum(np.searchsorted(at, at[1:] - WORDS, side="right") - 1, i[1:] - SENTENCES)
+        fits, reaches = ahead <= self.first[text + 1], back >= self.first[text]
+        pairs = np.unique(np.concatenate([i[:-1][fits] * (m + 1) + ahead[fits], back[reaches] * (m + 1) + i[1:][reaches]]))
+        a, b = pairs // (m + 1), pairs % (m + 1)
+        tables = _POWERS.upto(len(self.starts))
+        out = []
+        for k in range(2):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.marks[:, k] * tables[k][: len(self.starts)])])
+            h = (total[at[b]] - total[at[a]]) * tables[2 + k][at[a]]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASES[1 - k])
+            out.append(h ^ (h >> np.uint64(29)))
+        t = text[a]
+        return np.stack([out[0].view(np.int64), out[1].view(np.int64) >> 32, t, a - self.first[t], b - a])
+
+    def places(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of a text begin and end in it, in bytes."""
+        a, e = int(self.first[t]), int(self.first[t + 1])
+        return self.starts[self.cut[a:e]] - self.begin[t], self.ends[self.cut[a + 1 : e + 1] - 1] - self.begin[t]
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[int, Pieces]]:
+    """(number of the first text, its pieces and those of the next ones)."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= CHUNK or k + 1 == len(texts):
+            yield a, Pieces(texts[a : k + 1])
+            a, size = k + 1, 0
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of each piece, in code points; ends don't include white space."""
-    places, _, cut = _pieces(text)
-    return [(places[a][0], places[b - 1][1], [text[x:y] for x, y in places[a:b]]) for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
-
-
-def runs(n_words: np.ndarray) -> np.ndarray:
-    """(first, end) of the spans over sentences with so many words each."""
-    n = len(n_words)
-    total = np.concatenate([[0], np.cumsum(n_words)])
-    if n < SENTENCES or total[-1] < WORDS:
-        return np.zeros((0, 2), np.int64)
-    i = np.arange(n + 1)
-    ahead = np.maximum(np.searchsorted(total, total + WORDS), i + SENTENCES)
-    back = np.minimum(np.searchsorted(total, total - WORDS, side="right") - 1, i - SENTENCES)
-    both = np.concatenate([np.stack([i, ahead], 1)[ahead <= n], np.stack([back, i], 1)[back >= 0]])
-    return np.unique(both, axis=0)
-
-
-def span_table(text: str) -> np.ndarray:
-    """Rows high and low part of the hash, first sentence, number of sentences; a column for every span."""
-    import xxhash
-
-    _, low, bounds = _pieces(text)
-    cut = runs(np.diff(bounds))
-    if not len(cut):
-        return np.zeros((4, 0), np.int64)
-    at = bounds.tolist()
-    marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(low[a:b])) for a, b in zip(at, at[1:], strict=False)), "<u8").reshape(-1, 2)
-    a, b = cut.T
-    out = []
-    for k, base in enumerate(_BASES):
-        # sums of marks times powers, modulo 2^64; odd bases have an inverse
-        power = np.cumprod(np.full(len(marks), base, np.uint64))
-        back = np.cumprod(np.full(len(marks), pow(base, -1, 1 << 64), np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks[:, k] * power)])
-        h = (total[b] - total[a]) * back[a]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASES[1 - k])
-        out.append(h ^ (h >> np.uint64(29)))
-    return np.stack([out[0].view(np.int64), out[1].view(np.int64) >> 32, a, b - a])
+    data = text.encode()
+    starts, ends = Pieces([data]).places(0)
+    return [(len(data[:a].decode()), len(data[:e].decode()), [w.decode() for w in data[a:e].split()]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def spans(text: str) -> list[tuple[int, int, int, int]]:
     """(high and low part of the hash, first sentence, number of sentences) of every span."""
-    return list(map(tuple, span_table(text).T.tolist()))
+    return list(map(tuple, Pieces([text.encode()]).span_rows()[[0, 1, 3, 4]].T.tolist()))
 
 
 # Columns of the rows below: high, low, did, th, first, n
@@ -148,12 +188,11 @@ def span_rows(docs: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
         for b in slices(batches):
-            for did, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2)), strict=True):
-                found = span_table(text or "")
-                n = found.shape[1]
-                if n:
-                    held.append(np.concatenate([found[:2], np.full((1, n), did), np.full((1, n), th), found[2:]]))
-                    size += n
+            ids = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)])
+            for first, pieces in chunks(utf8(b.column(2))):
+                found = pieces.span_rows()
+                held.append(np.concatenate([found[:2], ids[:, first + found[2]], found[3:]]))
+                size += found.shape[1]
                 if size >= BUFFER:
                     yield from settle(held)
                     held, size = [], 0
@@ -195,27 +234,36 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     return removals(docs).groupBy(F.col("did").alias("r_did"), F.col("th").alias("r_th")).agg(F.collect_set(F.struct("first", "n")).alias("r_runs"))
 
 
-def apply_runs(text: str | None, cut: list[dict] | None) -> tuple[int, int, str | None, list[dict]]:
-    """(sentences, removed sentences, text left, removed spans in code points)."""
-    places, _, bounds = _pieces(text or "")
-    if not cut:
-        return len(bounds) - 1, 0, text, []
-    found = [places[k] for k in bounds[:-1].tolist()]
-    gone = np.zeros(len(found) + 1, np.int64)
+def apply_runs(text: bytes, starts: np.ndarray, cut: list[dict]) -> tuple[int, bytes, list[dict]]:
+    """(removed sentences, text left, removed spans in code points) of a text whose pieces begin at ``starts``."""
+    gone = np.zeros(len(starts) + 1, np.int64)
     for r in cut:
         gone[r["first"]] += 1
         gone[r["first"] + r["n"]] -= 1
     mask = np.cumsum(gone[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    places, kept, at = [], [], 0
+    places, kept, at, points = [], [], 0, 0
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         # up to the next sentence, so its white space goes with it
-        start, end = found[a][0], found[b][0] if b < len(found) else len(text)
-        places.append({"start": start, "end": end})
+        start, end = int(starts[a]), int(starts[b]) if b < len(starts) else len(text)
+        points += len(text[at:start].decode("utf-8", "replace"))
+        begin, points = points, points + len(text[start:end].decode("utf-8", "replace"))
+        places.append({"start": begin, "end": points})
         kept.append(text[at:start])
         at = end
     kept.append(text[at:])
-    return len(found), int(mask.sum()), "".join(kept), places
+    return int(mask.sum()), b"".join(kept), places
+
+
+def applied(texts: list[bytes], cuts: list[list[dict] | None]) -> list[tuple[int, int, bytes, list[dict]]]:
+    """(sentences, removed sentences, text left, removed spans) of each text."""
+    out = []
+    for first, pieces in chunks(texts):
+        sizes = np.diff(pieces.first).tolist()
+        for t, n in enumerate(sizes):
+            cut, text = cuts[first + t], texts[first + t]
+            out.append((n, *apply_runs(text, pieces.places(t)[0], cut)) if cut else (n, 0, text, []))
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -235,7 +283,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            rows = [apply_runs(t, r) for t, r in zip(strings(b.column(at)), b.column(own).to_pylist(), strict=True)]
+            rows = applied(utf8(b.column(at)), b.column(own).to_pylist())
+            null = b.column(at).is_null().to_pylist()
+            rows = [(n, gone, None if no else kept.decode("utf-8", "replace"), found) for (n, gone, kept, found), no in zip(rows, null, strict=True)]
             more = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), added, strict=True)] if rows else [pa.nulls(0, f.type) for f in added]
             yield pa.RecordBatch.from_arrays([*b.columns[:own], *more], names=[*columns, *new.values()])
 
