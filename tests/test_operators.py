@@ -262,4 +262,3 @@ def test_topics(spark, sf_dir):
     listener.assigned([1, 2])
     assert positions == {0: 0, 1: 0, 2: 0}
     assert calls == [[0, 1], [2]]
-    assert "subscribe" in topics.kafka_options("h:1", ["t"])

@@ -6,10 +6,14 @@ record was settled and how (``ack`` or ``nack``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.scans import CHUNK, by_offset, neighbour, running
+
 STRICT, COMPACT, COMPACT_EAGER = "strict", "compact", "compact_eager"
 
 
@@ -18,7 +22,7 @@ def first_signal(df: DataFrame, keys: list[str], status: str, time: str) -> Data
     return df.groupBy(*keys).agg(F.min_by(status, time).alias(status), F.min(time).alias(time))
 
 
-def frontier(df: DataFrame, queue: list[str], offset: str, settled: str, status: str, mode: str = STRICT) -> DataFrame:
+def frontier(df: DataFrame, queue: list[str], offset: str, settled: str, status: str, mode: str = STRICT, size: int = CHUNK) -> DataFrame:
     """When each settlement executes, in order: not before all earlier ones are settled.
 
     Adds ``executed`` (null while an earlier record is open) and ``collapsed``. In the
@@ -26,25 +30,27 @@ def frontier(df: DataFrame, queue: list[str], offset: str, settled: str, status:
     its right neighbour if that was, too; only the last of such a run executes. The eager
     mode frees its place at once, so ``freed`` is then the time it was settled.
     """
-    w = Window.partitionBy(*queue).orderBy(offset)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    open_before = F.max(F.col(settled).isNull().cast("int")).over(upto)
-    out = df.withColumn("executed", F.when(open_before == 0, F.max(settled).over(upto)))
+    chunk = by_offset(offset, size)
+    out = running(df, queue, [offset], chunk, _open=("max", F.col(settled).isNull().cast("int")), executed=("max", F.col(settled)))
+    out = out.withColumn("executed", F.when(F.col("_open") == 0, F.col("executed"))).drop("_open")
     if mode == STRICT:
         return out.withColumn("collapsed", F.lit(False)).withColumn("freed", F.col("executed"))
     ok = F.col(status) == "ack"
-    both = F.greatest(F.col(settled), F.lead(settled).over(w))
-    pending = F.col("executed").isNull() | (both < F.col("executed"))
-    joins = ok & F.coalesce(F.lead(ok).over(w), F.lit(False)) & F.col(settled).isNotNull() & F.lead(settled).over(w).isNotNull() & pending
-    out = out.withColumn("collapsed", F.coalesce(joins, F.lit(False)))
+    out = neighbour(out, queue, [offset], chunk, 1, _next=F.col(settled), _next_ok=ok)
+    pending = F.col("executed").isNull() | (F.greatest(F.col(settled), F.col("_next")) < F.col("executed"))
+    joins = ok & F.col("_next_ok") & F.col(settled).isNotNull() & F.col("_next").isNotNull() & pending
+    out = out.withColumn("collapsed", F.coalesce(joins, F.lit(False))).drop("_next", "_next_ok")
     return out.withColumn("freed", F.col(settled) if mode == COMPACT_EAGER else F.col("executed"))
 
 
-def in_flight(df: DataFrame, queue: list[str], arrived: str, freed: str) -> DataFrame:
-    """Records in flight at each arrival or release, for a bound on them: a running sum of events."""
+def in_flight(df: DataFrame, queue: list[str], arrived: str, freed: str, chunk: Column | None = None) -> DataFrame:
+    """Records in flight at each arrival or release, for a bound on them: a running sum of events.
+
+    ``chunk``: a function of ``at``, the event's time, that never decreases.
+    """
     events = df.select(*queue, F.col(arrived).alias("at"), F.lit(1).alias("d")).unionByName(df.where(F.col(freed).isNotNull()).select(*queue, F.col(freed).alias("at"), F.lit(-1).alias("d")))
     per = events.groupBy(*queue, "at").agg(F.sum("d").alias("d"))
-    return per.withColumn("in_flight", F.sum("d").over(Window.partitionBy(*queue).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).drop("d")
+    return running(per, queue, ["at"], chunk, in_flight=("sum", F.col("d"))).drop("d")
 
 
 def parents(children: DataFrame, keys: list[str], status: str, time: str, error: str | None = None) -> DataFrame:
@@ -66,10 +72,18 @@ def members(batches: DataFrame, rows: DataFrame, batch_keys: list[str]) -> DataF
 
 
 def committable(df: DataFrame, queue: list[str], offset: str, status: str) -> DataFrame:
-    """Per queue the position to commit: one past the run of acked offsets from its first one on."""
-    w = Window.partitionBy(*queue).orderBy(offset).rowsBetween(Window.unboundedPreceding, 0)
+    """Per queue the position to commit: one past the run of acked offsets from its first one on.
+
+    That run ends before the first offset that isn't acked, so two aggregates do; nothing is sorted.
+    """
     acked = F.coalesce(F.col(status) == "ack", F.lit(False))
-    return df.withColumn("_open", F.max((~acked).cast("int")).over(w)).groupBy(*queue).agg(F.coalesce(F.max(F.when(F.col("_open") == 0, F.col(offset) + 1)), F.min(offset)).alias("position"))
+    first = df.groupBy(*queue).agg(F.min(F.when(~acked, F.col(offset))).alias("_stop"), F.min(offset).alias("_first"))
+    on = [F.col(q).eqNullSafe(F.col(f"_of_{q}")) for q in queue]
+    # one row for each queue
+    named = first.select(*[F.col(q).alias(f"_of_{q}") for q in queue], "_stop", "_first")
+    run = F.max(F.when(F.col("_stop").isNull() | (F.col(offset) < F.col("_stop")), F.col(offset) + 1))
+    joined = df.join(named, on[0] if len(on) == 1 else reduce(lambda a, b: a & b, on)) if on else df.crossJoin(named)
+    return joined.groupBy(*queue).agg(F.coalesce(run, F.min("_first")).alias("position"))
 
 
 def ranges(df: DataFrame, queue: list[str], offset: str) -> DataFrame:
@@ -92,11 +106,11 @@ def unprocessed(records: DataFrame, done: DataFrame, queue: list[str], offset: s
     """
     position = done.groupBy(*queue).agg(F.max("position").alias("position"))
     left = records.join(position, queue, "left").where(F.col("position").isNull() | (F.col(offset) >= F.col("position"))).drop("position")
-    spans = done.where("start is not null").select(*[F.col(q).alias(f"_{q}") for q in queue], "start", "end")
-    cond: Column = F.col(offset).between(F.col("start"), F.col("end"))
-    for q in queue:
-        cond = cond & (F.col(q) == F.col(f"_{q}"))
-    return left.join(spans, cond, "left_anti")
+    # ranges take their place among the records; a record is in one if the largest end so far reaches it
+    spans = done.where("start is not null").select(*queue, F.col("start").alias(offset), F.col("end").alias("_end"), F.lit(0).alias("_kind"))
+    both = left.withColumn("_kind", F.lit(1)).unionByName(spans, allowMissingColumns=True)
+    reached = running(both, queue, [offset, "_kind"], by_offset(offset), _upto=("max", F.col("_end")))
+    return reached.where((F.col("_kind") == 1) & (F.col("_upto").isNull() | (F.col("_upto") < F.col(offset)))).select(*records.columns)
 
 
 def minimum_merged(left: DataFrame, right: DataFrame, queue: list[str], offset: str, minimum: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.collecting import binary_strides, greatest_with_ties, take_until
+from tidemark.operators.scans import last_known, neighbour, running
 
 UNKNOWN_LAG = (1 << 63) - 1
 
@@ -60,23 +61,23 @@ def admission(free: int, max_poll: int) -> bool:
     return free >= max_poll
 
 
-def release_times(df: DataFrame, keys: list[str], order: list[str], arrival_s: Column, count: int, duration_s: float, weight: Column | None = None) -> DataFrame:
+def release_times(df: DataFrame, keys: list[str], order: list[str], arrival_s: Column, count: int, duration_s: float, weight: Column | None = None, chunk: Column | None = None) -> DataFrame:
     """When a token bucket lets each row through, in seconds; adds ``release_s``.
 
     Capacity ``count``, full at first, refilled evenly over ``duration_s``. With T = duration
     / count, arrivals a, cumulative weights S: tat_i = S_i T + max over j <= i of (a_j -
     S_{j-1} T), and a row leaves at the running maximum of max(a_i, tat_i - count T). One
-    bucket for each of ``keys``. A rate of zero lets nothing through; None-like infinite
+    bucket for each of ``keys``, or one in all; ``chunk`` never decreases along the order and
+    keeps a bucket from being one task. A rate of zero lets nothing through; None-like infinite
     rates are the identity and aren't asked for here.
     """
     if count <= 0:
         return df.limit(0).withColumn("release_s", F.lit(0.0))
     each = duration_s / count
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_a", arrival_s).withColumn("_w", F.lit(1.0) if weight is None else weight.cast("double"))
-    rows = rows.withColumn("_s", F.sum("_w").over(w))
-    rows = rows.withColumn("_base", F.max(F.col("_a") - (F.col("_s") - F.col("_w")) * each).over(w))
-    rows = rows.withColumn("release_s", F.max(F.greatest(F.col("_a"), F.col("_s") * each + F.col("_base") - count * each)).over(w))
+    rows = running(rows, keys, order, chunk, _s=("sum", F.col("_w")))
+    rows = running(rows, keys, order, chunk, _base=("max", F.col("_a") - (F.col("_s") - F.col("_w")) * each))
+    rows = running(rows, keys, order, chunk, release_s=("max", F.greatest(F.col("_a"), F.col("_s") * each + F.col("_base") - count * each)))
     return rows.drop("_a", "_w", "_s", "_base")
 
 
@@ -136,20 +137,19 @@ def _inherit(tokens: float | None, at: float, old: tuple, new: tuple) -> float |
     return full / old_count * count
 
 
-def lag_signals(samples: DataFrame, order: list[str], lag: str, high: int, low: int) -> DataFrame:
+def lag_signals(samples: DataFrame, order: list[str], lag: str, high: int, low: int, chunk: Column | None = None) -> DataFrame:
     """Start and stop signals from lag samples: only changes, and the first state.
 
     Running goes on up to ``high``; what stands starts again at ``low``. A sample above high
     stops and one up to low starts, whatever came before, and one between changes nothing,
-    so the state is the last decisive sample's.
+    so the state is the last decisive sample's. ``chunk`` never decreases along the order.
     """
     if high < low:
         raise ValueError("high tide below low tide")
-    w = Window.orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     decisive = F.when(F.col(lag) <= low, True).when(F.col(lag) > high, False)
-    rows = samples.withColumn("started", F.coalesce(F.last(decisive, ignorenulls=True).over(upto), F.lit(False)))
-    return rows.withColumn("_was", F.lag("started").over(w)).where(F.col("_was").isNull() | (F.col("_was") != F.col("started"))).drop("_was")
+    rows = last_known(samples, [], order, chunk, "started", decisive)
+    rows = rows.withColumn("started", F.coalesce("started", F.lit(False)))
+    return neighbour(rows, [], order, chunk, -1, _was=F.col("started")).where(F.col("_was").isNull() | (F.col("_was") != F.col("started"))).drop("_was")
 
 
 def assign_single_machine(partition_counts: dict[str, int], members: dict[str, tuple[datetime | float, str, list[str]]]) -> dict[str, list[tuple[str, int]]]:

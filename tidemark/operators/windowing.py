@@ -3,14 +3,15 @@
 A window of a key opens with a row and takes the rows that follow until it is full or
 ``timeout`` has passed since that row, the boundary excluded. Spark's ``window`` is anchored
 at the epoch and ``session_window`` slides, so neither does this. Rows are dealt by key and
-sorted; each partition is folded in one pass that holds one row, whatever a key's size. The
-record's timestamp is the clock.
+sorted; each partition is folded in one pass that holds a batch, whatever a key's size, and takes a
+step for each window, not for each row. The record's timestamp is the clock.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,20 +39,34 @@ def anchored(df: DataFrame, keys: list[str], time: str, order: list[str], timeou
     n = len(own)
 
     def fold(batches):
-        key = start = None
-        no = nth = 0
+        key, start, no, nth = None, 0, -1, 0  # the open window: its key, first time, number and rows so far
         for b in batches:
-            nos, nths = [], []
-            for k, t in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                if k != key:
-                    key, start, no, nth = k, t, 0, 1
-                elif nth < max_size and t - start < limit:
-                    nth += 1
-                else:
-                    start, no, nth = t, no + 1, 1
-                nos.append(no)
-                nths.append(nth)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(nos, pa.int64()), pa.array(nths, pa.int64())], names=[*own, NO, NTH])
+            m = b.num_rows
+            if not m:
+                continue
+            codes = b.column(n).dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            names = codes.dictionary.to_pylist()
+            times = b.column(n + 1).to_numpy(zero_copy_only=False)
+            nos, nths = np.empty(m, np.int64), np.empty(m, np.int64)
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), m]
+            for a, e in zip(edges, edges[1:], strict=False):
+                if names[code[a]] != key:
+                    key, no, nth = names[code[a]], -1, max_size
+                t = times[a:e]
+                top = np.maximum.accumulate(t)
+                i = 0
+                while i < e - a:
+                    if nth >= max_size or t[i] - start >= limit:
+                        start, no, nth = int(t[i]), no + 1, 0
+                    # up to the first row out of time; rows may be out of order, then none before may be late
+                    late = int(np.searchsorted(top, start + limit)) if i == 0 or top[i - 1] < start + limit else i + int(np.argmax(np.append(t[i:] - start >= limit, True)))
+                    j = min(e - a, late, i + max_size - nth)
+                    nos[a + i : a + j] = no
+                    nths[a + i : a + j] = np.arange(nth + 1, nth + 1 + j - i)
+                    nth += j - i
+                    i = j
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(nos), pa.array(nths)], names=[*own, NO, NTH])
 
     return rows.mapInArrow(fold, StructType([*df.schema.fields, StructField(NO, LongType()), StructField(NTH, LongType())]))
 
@@ -75,6 +90,15 @@ def batches(df: DataFrame, keys: list[str], time: str, order: list[str], timeout
     return found.groupBy(*keys, NO).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(NTH), value.alias("v")))), lambda x: x["v"]).alias("items"), F.count(F.lit(1)).alias("n"), F.min(time).alias("opened"), closing(time, timeout_s, max_size).alias("closed"))
 
 
+def sender_batches(df: DataFrame, keys: list[str], time: str, order: list[str], max_size: int, duration_s: float) -> DataFrame:
+    """Sender batches by size or time; for sizes up to one every row is one, and no duration is looked at."""
+    if max_size <= 1:
+        return sized(df, keys, order, 1)
+    if duration_s <= 0:
+        raise ValueError("a batch's duration must be positive")
+    return anchored(df, keys, time, order, duration_s, max_size)
+
+
 def batch_members(df: DataFrame, max_size: int, keys: list[str], order: list[str]) -> DataFrame:
     """Sender batches: singletons for sizes up to one, else by size."""
     return sized(df, keys, order, max(1, max_size))
@@ -118,6 +142,12 @@ def deduplicate(df: DataFrame, keys: list[str], time: str, order: list[str], tim
     return found.groupBy(*keys, NO).agg(*[reducer.of(v).alias(v) for v in values], F.count(F.lit(1)).alias("n"), F.min(time).alias("opened"), closing(time, timeout_s, max_size).alias("closed"))
 
 
+def commit_windows(df: DataFrame, consumer: list[str], time: str, order: list[str], partition: list[str], offset: str, max_size: int, period_s: float) -> DataFrame:
+    """Positions by a consumer's commit windows of size or time; of each partition the last acknowledgement counts."""
+    found = anchored(df, consumer, time, order, period_s, max_size)
+    return found.groupBy(*consumer, NO, *partition).agg((F.max_by(offset, NTH) + 1).alias("position"), closing(time, period_s, max_size).alias("_closed")).drop("_closed")
+
+
 def commits(df: DataFrame, group: list[str], window_no: str, offset: str) -> DataFrame:
     """Of each commit window the last offset of each partition, plus one: the next to read."""
     return df.groupBy(*group, window_no).agg((F.max(offset) + 1).alias("position"))

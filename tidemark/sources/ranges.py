@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEYS = ["topic", "partition"]
 NEVER = (1 << 63) - 1
@@ -121,7 +122,7 @@ def _high(p: Position) -> Column:
 
 
 def resolve(records: DataFrame, provider: RangeProvider, committed: DataFrame | None = None) -> DataFrame:
-    """topic, partition, min_offset, max_offset (both included); empty ranges are left out."""
+    """topic, partition, min_offset, max_offset (both included) and wave, when it is its turn; empty ranges are left out."""
     cases = [(k, r) for k, r in (provider.by_partition or {}).items()]
     times = _times(provider.every) + [t for _, r in cases for t in _times(r)]
     table = bounds(records, times, committed)
@@ -139,12 +140,25 @@ def resolve(records: DataFrame, provider: RangeProvider, committed: DataFrame |
             before = (F.col("topic") > topic) | ((F.col("topic") == topic) & (F.col("partition") > partition))
         low = F.when(before, none).when(here, F.lit(offset).cast("long")).otherwise(low)
     out = table.select(*KEYS, F.greatest(low, F.col("earliest")).alias("min_offset"), (F.least(high, F.col("latest")) - 1).alias("max_offset"), low.alias("_l"), high.alias("_h"))
-    return out.where("_l is not null and _h is not null and min_offset <= max_offset").drop("_l", "_h")
+    found = out.where("_l is not null and _h is not null and min_offset <= max_offset").drop("_l", "_h")
+    # one row for each partition of the topic
+    place = F.row_number().over(Window.orderBy(*[F.desc(k) if provider.descending else F.asc(k) for k in KEYS])) - 1
+    return found.withColumn("wave", F.floor(place / provider.max_concurrent).cast("int"))
 
 
 def read_ranges(records: DataFrame, ranges: DataFrame) -> DataFrame:
     """Records inside resolved ranges. The ranges are one row for each partition of the topic."""
-    return records.join(ranges, KEYS).where(F.col("offset").between(F.col("min_offset"), F.col("max_offset"))).drop("min_offset", "max_offset")
+    return records.join(ranges, KEYS).where(F.col("offset").between(F.col("min_offset"), F.col("max_offset"))).drop("min_offset", "max_offset", "wave")
+
+
+def read_in_waves(records: DataFrame, ranges: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """(records, positions to commit once they are acknowledged) of ``max_concurrent`` partitions after another, in their order."""
+    waves = sorted(r.wave for r in ranges.select("wave").distinct().collect())
+    out = []
+    for k in waves:
+        own = ranges.where(F.col("wave") == k)
+        out.append((read_ranges(records, own), own.select(*KEYS, (F.col("max_offset") + 1).alias("committed"))))
+    return out
 
 
 def read(records: DataFrame, provider: RangeProvider, committed: DataFrame | None = None) -> DataFrame:
