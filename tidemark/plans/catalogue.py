@@ -117,16 +117,17 @@ def filter_map_not_null(spark, sf):
     return stateless.map_not_null(_events(spark, sf), code=code).select("event_id", "code")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE NOT (value >= 50) OR value IS NULL GROUP BY event_type")
+@query("SELECT event_id, event_type, value FROM events WHERE NOT (value >= 50 AND event_type <> 'view') OR value IS NULL")
 def discarded_rows(spark, sf):
     """What a filter drops, as a discard hook sees it."""
-    return stateless.discarded(_events(spark, sf), F.col("value") >= 50).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return stateless.discarded(_events(spark, sf), (F.col("value") >= 50) & (F.col("event_type") != "view")).select("event_id", "event_type", "value")
 
 
-@query("SELECT conv_id, turn, TRY_CAST(substr(text, 1, 2) AS INTEGER) AS head FROM conversations WHERE TRY_CAST(substr(text, 1, 2) AS INTEGER) IS NOT NULL")
+@query("SELECT event_id, TRY_CAST(CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) ELSE event_type END AS INTEGER) AS content FROM events WHERE event_type = 'view'")
 def of_type_numbers(spark, sf):
-    rows = _t(spark, sf, "conversations").withColumn("head", F.substring("text", 1, 2))
-    return stateless.of_type(rows, "head", "int").select("conv_id", "turn", "head")
+    """Of contents of two types those that are numbers."""
+    rows = _events(spark, sf).withColumn("content", F.when(F.col("event_type") == "view", F.col("user_id").cast("string")).otherwise(F.col("event_type")))
+    return stateless.of_type(rows, "content", "int").select("event_id", "content")
 
 
 @query("SELECT event_id, CAST(round(value) AS BIGINT) AS amount FROM events")
@@ -134,11 +135,12 @@ def cast_values(spark, sf):
     return stateless.cast(_events(spark, sf).withColumn("amount", F.round("value")), "amount", "bigint").select("event_id", "amount")
 
 
-@query("SELECT event_id, user_id FROM events WHERE false")
+@query("SELECT event_type, count(*) AS n, 0 AS left_over FROM events GROUP BY event_type")
 def consume_rows(spark, sf):
-    """A side effect over all rows; none comes out."""
-    seen = []
-    return stateless.consume(_events(spark, sf).select("event_id", "user_id"), lambda df: seen.append(df.count()))
+    """What a side effect over all rows saw; none of them comes out."""
+    seen: list = []
+    rest = stateless.consume(_events(spark, sf), lambda df: seen.extend(df.groupBy("event_type").count().collect()))
+    return spark.createDataFrame([(r.event_type, r["count"], rest.count()) for r in seen], "event_type string, n long, left_over int")
 
 
 @query("SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS place, string_split(text, ' ')[i] AS word FROM conversations, unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(i)")
@@ -520,10 +522,10 @@ def range_by_partition(spark, sf):
     return _range(spark, sf, ranges.RangeProvider(by_partition=per))
 
 
-@query(f"""WITH {_GROUP_SQL} SELECT topic, partition, least(201, latest) AS committed FROM grp WHERE committed IS NOT NULL AND committed <= least(201, latest) - 1""")
+@query(f"""WITH {_GROUP_SQL} SELECT topic, partition, least(2001, latest) AS committed FROM grp WHERE committed IS NOT NULL AND committed <= least(2001, latest) - 1""")
 def range_commit_after(spark, sf):
-    """From the group's position up to offset 200; the positions to commit afterwards."""
-    _, after = ranges.read_up_to(_topic(spark, sf), ranges.raw(200), _committed(spark, sf))
+    """From the group's position up to offset 2000; the positions to commit afterwards."""
+    _, after = ranges.read_up_to(_topic(spark, sf), ranges.raw(2000), _committed(spark, sf))
     return after
 
 
@@ -567,10 +569,12 @@ def priority_cutoff(spark, sf):
     return flow.priority_cutoff(lags, ["partition"], "lag", 1500).select("topic", "partition", "lag")
 
 
-@query("SELECT CAST(c AS INTEGER) AS cycle, CAST(p AS INTEGER) AS partition FROM (VALUES (0,0),(0,2),(0,4),(0,6),(1,1),(1,3),(1,5),(2,0),(2,1),(2,4),(2,5),(3,2),(3,3),(3,6),(4,0),(4,1),(4,2),(4,3),(5,4),(5,5),(5,6)) AS t(c, p)")
+@query("""
+    WITH p AS (SELECT n_nationkey AS partition, row_number() OVER (ORDER BY n_nationkey) - 1 AS place, count(*) OVER () AS n FROM nation WHERE n_nationkey < 15)
+    SELECT CAST(2 * b + (place >> b) % 2 AS INTEGER) AS cycle, partition FROM p, range(0, 6) t(b) WHERE (n - 1) >> b > 0""")
 def binary_strides(spark, sf):
-    """The cycle over seven partitions."""
-    return flow.stride_plan(spark, list(range(7)))
+    """The cycle over fifteen partitions: a stride for each bit of a partition's place and each value of it."""
+    return flow.stride_plan(spark, [r.n_nationkey for r in _t(spark, sf, "nation").where("n_nationkey < 15").select("n_nationkey").collect()])
 
 
 _RATE_SQL = """
@@ -663,3 +667,6 @@ def registry_bodies(spark, sf):
     e = _events(spark, sf).withColumn("payload", with_registry_prefix(F.col("event_id") % 9, to_long_body(F.col("event_id"))))
     e = e.withColumn("parts", registry_parts(F.col("payload")))
     return e.select("event_id", F.col("parts.schema_id").alias("schema_id"), long_body(F.col("parts.body")).alias("number"), string_body(to_string_body(F.col("event_type"))).alias("name"))
+
+
+from tidemark.plans import delivery  # noqa: E402, F401  # adds its queries to those above

@@ -54,11 +54,11 @@ def read_stream(spark: SparkSession, chosen: dict[str, str], starting: str | dic
 
 def records(raw: DataFrame, key: Column | None = None, value: Column | None = None) -> DataFrame:
     """topic, partition, offset, timestamp, key, value (strings unless decoded otherwise) and headers as a map."""
-    headers = F.map_from_entries(F.transform("headers", lambda h: F.struct(h["key"], F.decode(h["value"], F.lit("UTF-8"))))) if "headers" in raw.columns else F.lit(None).cast("map<string,string>")
+    headers = F.map_from_entries(F.transform("headers", lambda h: F.struct(h["key"], F.decode(h["value"], "UTF-8")))) if "headers" in raw.columns else F.lit(None).cast("map<string,string>")
     return raw.select(
         "topic", "partition", "offset", "timestamp",
-        (F.decode("key", F.lit("UTF-8")) if key is None else key).alias("key"),
-        (F.decode("value", F.lit("UTF-8")) if value is None else value).alias("value"),
+        (F.decode("key", "UTF-8") if key is None else key).alias("key"),
+        (F.decode("value", "UTF-8") if value is None else value).alias("value"),
         headers.alias("headers"),
     )
 

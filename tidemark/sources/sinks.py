@@ -22,6 +22,8 @@ from tidemark.session import drop_dir, materialise, new_dir, ship
 
 Sink = Callable[[Iterable[dict]], Iterable[str | None]]
 ERROR = "send_error"
+#: Folder of a batch's positions; readers of its rows pass it over.
+OFFSETS = "_offsets"
 
 
 class SendError(RuntimeError):
@@ -116,8 +118,15 @@ class Transaction:
         path = jvm.org.apache.hadoop.fs.Path
         return path, path(self.table).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame, batch_id: int) -> bool:
-        """Whether it was written now."""
+    def rows(self, spark) -> DataFrame:
+        return spark.read.parquet(self.table)
+
+    def offsets(self, spark) -> DataFrame:
+        """Positions that were committed with the rows, of all batches."""
+        return spark.read.parquet(f"{self.table}/batch=*/{OFFSETS}")
+
+    def write(self, df: DataFrame, batch_id: int, offsets: DataFrame | None = None) -> bool:
+        """Whether it was written now. ``offsets``, the positions that the rows came from, appear with them."""
         path, fs = self._fs(df)
         target = path(f"{self.table}/batch={batch_id}")
         if fs.exists(target):
@@ -125,6 +134,8 @@ class Transaction:
         staged = f"{self.table}/.staged-{batch_id}-{os.getpid()}"
         try:
             df.write.mode("overwrite").parquet(staged)
+            if offsets is not None:
+                offsets.write.parquet(f"{staged}/{OFFSETS}")
             fs.mkdirs(path(self.table))
             if not fs.rename(path(staged), target):
                 raise SendError(f"batch {batch_id} could not be committed")
