@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codecs, offset_codec
 from tidemark.functions.collecting import binary_strides, difference, floor_log2, floor_log2_column, greatest_with_ties, highest_one_bit, take_until
-from tidemark.functions.hashing import number_bucket, string_bucket, uuid_bucket
+from tidemark.functions.hashing import number_bucket, string_bucket, uuid_bucket, with_number_bucket, with_uuid_bucket
 
 # Buckets of 128, from a published Murmur3 implementation.
 NUMBERS = [(0, 124), (1, 68), (-1, 104), (2**63 - 1, 63), (-(2**63), 37), (-5025562857975149833, 48), (5694868678511409995, 103), (3272055439932147596, 113), (None, 0)]
@@ -19,6 +19,12 @@ UUIDS = [("00000000-0000-0000-0000-000000000000", 120), ("ffffffff-ffff-ffff-fff
 def test_buckets(spark, rows, kind, bucket):
     df = spark.createDataFrame(rows, f"v {kind}, expected int")
     assert df.where(bucket(F.col("v"), 128) != F.col("expected")).count() == 0
+    chained = {number_bucket: with_number_bucket, uuid_bucket: with_uuid_bucket}.get(bucket)
+    if chained:
+        got = chained(df, "b", F.col("v"), 128)
+        assert got.columns == ["v", "expected", "b"]
+        assert got.where("b <> expected or b is null").count() == 0
+        assert chained(df, "expected", F.col("v"), 128).columns == ["v", "expected"]
 
 
 def test_bad_uuid_fails(spark):

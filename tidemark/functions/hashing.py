@@ -1,15 +1,16 @@
 """Stable buckets: Murmur3 (32 bits, seed 0) of numbers, strings and UUIDs, as Column expressions.
 
-``F.hash`` is Murmur3 with seed 42, so its buckets differ. Every step is let-bound by a
+``F.hash`` is Murmur3 with seed 42, so its buckets differ. As an expression every step is let-bound by a
 one-element ``transform``, because a helper that repeats its argument would otherwise
-multiply the expression.
+multiply the expression. ``with_number_bucket`` and ``with_uuid_bucket`` do the steps as columns one after
+another instead, which is generated code throughout and about six times as fast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of Murmur3 (32 bits).
@@ -98,7 +99,53 @@ def uuid_bucket(uuid: Column, n: int) -> Column:
             h = mix_hash(h, mix_block(_unit(hexed, F.lit(4 * k), 4)))
         return finish(h, F.lit(16).cast("long"))
 
-    valid = F.when(uuid.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.replace(uuid, F.lit("-"), F.lit(""))).otherwise(
+    return _or_zero(uuid, _bucket(let(_uuid_digits(uuid), of), n))
+
+
+def _uuid_digits(uuid: Column) -> Column:
+    """The 32 digits of a UUID; zeros for null, an error for what is none."""
+    return F.when(uuid.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.replace(uuid, F.lit("-"), F.lit(""))).otherwise(
         F.when(uuid.isNull(), F.lit("0" * 32)).otherwise(F.raise_error(F.concat(F.lit("not a UUID: "), uuid)))
     )
-    return _or_zero(uuid, _bucket(let(valid, of), n))
+
+
+_V, _K, _H = "_hash_value", "_hash_block", "_hash"
+
+
+def _times(name: str, c: int) -> Column:
+    x = F.col(name)
+    return (x * F.lit(c & 0xFFFF) + F.shiftleft((x * F.lit(c >> 16)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(LOW32))
+
+
+def _turned(name: str, r: int) -> Column:
+    return F.shiftleft(F.col(name), r).bitwiseOR(F.shiftright(F.col(name), 32 - r)).bitwiseAND(F.lit(LOW32))
+
+
+def _with_bucket(df: DataFrame, name: str, source: Column, value: Column, blocks: list[Column], n: int) -> DataFrame:
+    """``df`` with the bucket of 32-bit blocks of ``value``, each a column over the one before."""
+    own = df.columns
+    out = df.withColumns({_V: value, _H: F.lit(0).cast("long"), name: source.isNull()})
+    for block in blocks:
+        for step in (block, _times(_K, C1), _turned(_K, 15), _times(_K, C2)):
+            out = out.withColumn(_K, step)
+        out = out.withColumn(_H, F.col(_H).bitwiseXOR(F.col(_K))).withColumn(_H, (_turned(_H, 13) * F.lit(5) + F.lit(STEP)).bitwiseAND(F.lit(LOW32)))
+    out = out.withColumn(_H, F.col(_H).bitwiseXOR(F.lit(4 * len(blocks))))
+    for shift, factor in ((16, F1), (13, F2), (16, None)):
+        out = out.withColumn(_H, F.col(_H).bitwiseXOR(F.shiftright(_H, shift)))
+        out = out if factor is None else out.withColumn(_H, _times(_H, factor))
+    signed = F.when(F.col(_H) >= F.lit(1 << 31), F.col(_H) - F.lit(1 << 32)).otherwise(F.col(_H))
+    kept = [F.col(f"`{c}`") for c in own if c != name]
+    bucket = F.when(F.col(name), F.lit(0)).otherwise(F.pmod(signed, F.lit(n)).cast("int"))
+    # generated, so that no filter on the bucket is moved below the steps, where it would repeat them all
+    return out.select(*kept, F.explode_outer(F.array(bucket)).alias(name))
+
+
+def with_number_bucket(df: DataFrame, name: str, number: Column, n: int) -> DataFrame:
+    """``df`` with ``number_bucket`` as column ``name``."""
+    halves = [F.col(_V).bitwiseAND(F.lit(LOW32)), F.shiftrightunsigned(_V, 32)]
+    return _with_bucket(df, name, number, F.coalesce(number.cast("long"), F.lit(0).cast("long")), halves, n)
+
+
+def with_uuid_bucket(df: DataFrame, name: str, uuid: Column, n: int) -> DataFrame:
+    """``df`` with ``uuid_bucket`` as column ``name``."""
+    return _with_bucket(df, name, uuid, _uuid_digits(uuid), [_unit(F.col(_V), F.lit(4 * k), 4) for k in range(4)], n)

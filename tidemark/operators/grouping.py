@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.hashing import number_bucket, string_bucket, uuid_bucket
+from tidemark.functions.hashing import string_bucket, with_number_bucket, with_uuid_bucket
 
 GROUP = "_group"
 
@@ -18,7 +18,7 @@ def group_by(df: DataFrame, key: Column) -> DataFrame:
 
 
 def by_number_hash(df: DataFrame, number: Column, n: int) -> DataFrame:
-    return group_by(df, number_bucket(number, n))
+    return with_number_bucket(df, GROUP, number, n)
 
 
 def by_string_hash(df: DataFrame, text: Column, n: int) -> DataFrame:
@@ -26,7 +26,7 @@ def by_string_hash(df: DataFrame, text: Column, n: int) -> DataFrame:
 
 
 def by_uuid_hash(df: DataFrame, uuid: Column, n: int) -> DataFrame:
-    return group_by(df, uuid_bucket(uuid, n))
+    return with_uuid_bucket(df, GROUP, uuid, n)
 
 
 def by_topic_partition(df: DataFrame) -> DataFrame:

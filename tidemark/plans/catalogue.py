@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import number_bucket, string_bucket, uuid_bucket
+from tidemark.functions.hashing import string_bucket, with_number_bucket, with_uuid_bucket
 from tidemark.operators import acks, context, flow, grouping, stateless, windowing
 from tidemark.operators.failure import delegate, delegate_unless, emit_unless, error_delegation, message_has, passing, process_failure, route
 from tidemark.sources import ranges, topics
@@ -191,7 +191,7 @@ def _steps(blocks: list[str], length: int, source: str, keep: str, n: int) -> st
 @query(_steps(["(l_orderkey & 4294967295)", "(l_orderkey >> 32)"], 8, "(SELECT DISTINCT l_orderkey FROM lineitem)", "l_orderkey", 128))
 def bucket_number_hash(spark, sf):
     keys = _t(spark, sf, "lineitem").select("l_orderkey").distinct()
-    return keys.select("l_orderkey", number_bucket(F.col("l_orderkey"), 128).alias("bucket"))
+    return with_number_bucket(keys, "bucket", F.col("l_orderkey"), 128)
 
 
 _UUID_SQL = "(SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR)) AS x FROM events)"
@@ -201,7 +201,7 @@ _UUID_SQL = "(SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR)) AS x FROM e
 def bucket_uuid_hash(spark, sf):
     x = F.md5(F.col("user_id").cast("string"))
     uuid = F.concat_ws("-", *[F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return _events(spark, sf).select("user_id").distinct().select("user_id", uuid_bucket(uuid, 64).alias("bucket"))
+    return with_uuid_bucket(_events(spark, sf).select("user_id").distinct(), "bucket", uuid, 64)
 
 
 def _string_sql(n: int) -> str:
