@@ -151,12 +151,12 @@ def bucket_pairs(rows: DataFrame, round_: int) -> DataFrame:
 
 
 def simhash_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs u, v of nodes in one star of the SimHash index: each with its fingerprint's first, and those with their root's."""
+    """Pairs u, v of nodes in one star of a bucket of the SimHash index: each with its fingerprint's first, and those with their star's."""
     first = materialise(prints.groupBy("fp").agg(F.min("th").alias("first")), "simhash-nodes")
     same = prints.select("th", "fp").distinct().join(first, "fp").where(F.col("th") != F.col("first")).select(F.col("th").alias("u"), F.col("first").alias("v"))
-    stars = components(bucket_edges(buckets(first.select("fp"))))
-    one, two = first.select(F.col("fp").alias("node"), F.col("first").alias("u")), first.select(F.col("fp").alias("root"), F.col("first").alias("v"))
-    return same.unionByName(stars.join(one, "node").join(two, "root").select("u", "v"))
+    stars = bucket_edges(buckets(first.select("fp"))).distinct().withColumnsRenamed({"u": "node", "v": "star"})
+    one, two = first.select(F.col("fp").alias("node"), F.col("first").alias("u")), first.select(F.col("fp").alias("star"), F.col("first").alias("v"))
+    return same.unionByName(stars.join(one, "node").join(two, "star").select("u", "v"))
 
 
 def checked(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
