@@ -36,9 +36,9 @@ def test_simple8b_packs():
 
 
 @pytest.mark.parametrize("memory", [200, 1 << 28])
-@pytest.mark.parametrize("base", [2, 1 << 16])
-def test_suffixes(memory, base, monkeypatch):
-    monkeypatch.setattr(induced, "BASE", base)
+@pytest.mark.parametrize("small", [2, 512])
+def test_suffixes(memory, small, monkeypatch):
+    monkeypatch.setattr(induced, "SMALL", small)
     rng = random.Random(6)
     for _ in range(60):
         part = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 40))]
