@@ -47,7 +47,7 @@ from tidemark.session import materialise
 
 TARGET_ENTROPY, MAX_EPOCHS = 0.9985, 4.0
 BLOCK_ROWS, SUPER = 1000, 256
-#: Parts of the mixture in which blocks are numbered.
+#: Parts of the mixture in which blocks are numbered, and to which written rows are dealt.
 STRETCHES = 4096
 STEPS, POINTS = 10, 15
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -213,12 +213,14 @@ def mixture(docs: DataFrame, **targets) -> DataFrame:
 
 
 def scattered(docs: DataFrame) -> Column:
-    """An order for the rows of a mixture that were written: by a hash of file and row, so copies of a document lie apart.
+    """An order for the rows of a mixture that were written: documents dealt by hash to ``STRETCHES``, and in each rows by a hash of file and row.
 
-    The rows must be read from files; others go by their partition and place in it.
+    So copies of a document lie apart but not in all files, where each would be shuffled as if it were new. The
+    rows must be read from files; others go by their partition and place in it.
     """
+    stretch = F.pmod(F.xxhash64("doc_id"), F.lit(STRETCHES))
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
-        return unit_hash(F.lit("row"), F.monotonically_increasing_id())
-    return unit_hash(F.lit("row"), F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+        return F.struct(stretch, unit_hash(F.lit("row"), F.monotonically_increasing_id()))
+    return F.struct(stretch, unit_hash(F.lit("row"), F.col("_metadata.file_name"), F.col("_metadata.row_index")))
