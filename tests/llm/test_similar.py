@@ -68,3 +68,26 @@ def test_bands_recall_at_the_threshold():
         assert similar.similar(a, b)
         hit += bool((similar.band_keys(a) == similar.band_keys(b)).any())
     assert hit >= 495
+
+
+def test_candidates_are_near_fingerprints(spark):
+    """Buckets are blocks of SimHash fingerprints, and what they give is all that is near in Gray order."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:300], rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in range(0, 60, 2)]
+    prints = np.array([similar.prints_of(s) for s in sets])
+    ones = np.array([[int(x) >> b & 1 for x in prints[0] for b in range(64)]])
+    assert 0.4 < ones.mean() < 0.6
+    # bits agree as SimHash says, in each of the fingerprints
+    both = len(np.intersect1d(sets[0], sets[-1]))
+    want = np.arccos(both / np.sqrt(len(sets[0]) * len(sets[-1]))) / np.pi
+    assert abs(np.bitwise_count(prints[0] ^ prints[-1]).sum() / prints[0].size / 64 - want) < 0.04
+    rows = spark.createDataFrame([(k, p.view(np.int64).tolist()) for k, p in enumerate(prints)], "th long, prints array<long>")
+    found = similar.bucket_rows(rows)
+    for k, s in enumerate(sets[:3]):
+        assert {r.key for r in found.where(f"node = {k}").collect()} == set(similar.band_keys(s).tolist())
+    got = {tuple(sorted((r.u, r.v))) for r in similar.bucket_pairs(found.withColumn("root", found["node"]), 0).collect()}
+    keys = [set(similar.band_keys(s).tolist()) for s in sets]
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if keys[i] & keys[j] and similar.near(prints[i, :2], prints[j, :2])}
+    assert got == near
+    assert len(near) > 50

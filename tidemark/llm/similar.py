@@ -5,17 +5,19 @@ Words are those of ``simhash``; a text's set holds its distinct runs of ``SHINGL
 if their sets have a similarity of at least ``SIMILARITY``; groups are the connected
 components.
 
-Candidates come from two indexes. SimHash fingerprints of the same shingles, linked at two bits by
-the Gray-order index of ``simhash``, give copies with little changed. They can't give the others: at a
-similarity of 0.8 two fingerprints differ in about 10 of 64 bits. So each set also gets ``BANDS``
-independent fingerprints of the least values of ``ROWS`` hash functions over the set; a pair of similarity s agrees in one at least
-with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8 and nearer to 1 above. What
-agrees is a candidate only: every link is checked on the two texts themselves.
-
-Scale. Equal texts are one node. A bucket of at most ``HOT`` nodes gives all its pairs. A
-larger one gives the pairs with one leader; once these are checked, only nodes of different
-components are still to compare: all such pairs when they are at most ``HOT`` a node, else
-again those with another leader, and after ``LEADERS`` rounds all that are left. No pair of a
+Candidates come from SimHash alone. The 64-bit fingerprint of ``simhash`` over the same shingles, linked at two bits
+by its Gray-order index, gives copies with little changed. Two texts at a similarity of 0.8 differ in about 10 of
+64 bits, beyond what two equal blocks of four can guarantee, so each set also gets ``PRINTS`` independent SimHash fingerprints
+and is sent to a bucket for each of their 16-bit blocks. At 0.8 a bit agrees with
+probability 1 - acos(8/9)/pi = 0.848, a block with 0.072, and none of the 104 with 0.0004, less above. In a bucket
+the first two fingerprints are searched in Gray order: all within ``RADIUS_ONE`` bits of the
+first, and of these all within ``RADIUS_TWO`` bits of both (23 and 36; at 0.8 the means are 9.7 and 19.4, with
+deviations of 2.9 and 4.1). What is found is a candidate only: every link is checked on the two texts themselves.
+
+Scale. Equal texts are one node. A bucket of at most ``FAN`` nodes is one leaf of the index, which is compared
+at once with the others; a larger one is searched from the top. If it has more than ``HOT`` near pairs a node, it
+gives the pairs with leaders, each with the nodes near it that none before has; once these are checked, only nodes of different
+components are still to compare, and after ``LEADERS`` rounds all that are left. No near pair of a
 bucket is dropped, but those that are in one component already.
 
 Cases. Null, empty and blank texts are one group. Null ids come last in choosing a group's
@@ -33,17 +35,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, arrow_map, batch, only, slices, spread, utf8
 from tidemark.llm.components import components
-from tidemark.llm.simhash import SEED, bucket_edges, buckets, first_of_groups, majority
+from tidemark.llm.simhash import FAN, SEED, GrayIndex, bucket_edges, buckets, first_of_groups, majority
 from tidemark.session import materialise
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+#: Independent fingerprints, and their 16-bit blocks.
+PRINTS = 26
+BANDS = 4 * PRINTS
+RADIUS_ONE, RADIUS_TWO = 23, 36
 HOT, LEADERS = 32, 3
+#: Leaders of a bucket in one round.
+AT_ONCE = 64
 _RNG = np.random.default_rng(3)
-_FACTORS = _RNG.integers(1, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_MIX = _RNG.integers(1, 2**62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = _RNG.integers(1, 2**62, BANDS, dtype=np.uint64)
+_FACTORS, _MIX = _RNG.integers(1, 2**62, (2, PRINTS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADDED = _RNG.integers(0, 2**63, PRINTS, dtype=np.uint64)
+
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -62,15 +68,21 @@ def all_shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(w) - shingle + 1)
 
 
+def prints_of(found: np.ndarray) -> np.ndarray:
+    """The set's ``PRINTS`` SimHash fingerprints: bits that over half of its hashes have, hashed anew for each."""
+    ones = np.zeros(64 * PRINTS, np.int64)
+    for k in range(0, len(found), 255):
+        h = found[k : k + 255]
+        h = (h ^ (h >> np.uint64(32)))[:, None] * _FACTORS + _ADDED
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h ^= h >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each of the set's ``BANDS`` fingerprints."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for k in range(0, len(found), 1024):
-        h = found[k : k + 1024]
-        h = h ^ (h >> np.uint64(32))
-        least = np.minimum(least, (h[None] * _FACTORS[:, None] + _ADDED[:, None]).min(axis=1))
-    keys = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + _SALT
-    return (keys ^ (keys >> np.uint64(31))).view(np.int64)
+    """The bucket of each 16-bit block of the set's fingerprints."""
+    return np.arange(BANDS) << 16 | prints_of(found).view(np.uint16).astype(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -84,60 +96,102 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash of the text), its SimHash fingerprint (0 without words) and the keys of its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, th (a hash of the text), its SimHash fingerprint (0 without words) and the independent ones."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("prints", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in slices(batches):
             found = [all_shingles(t) for t in utf8(b.column(1))]
-            keys = np.concatenate([band_keys(np.unique(h)) for h in found])
+            prints = np.concatenate([prints_of(np.unique(h)) for h in found]).view(np.int64)
             fp = np.array([majority(h) if len(h) else 0 for h in found], np.uint64).view(np.int64)
-            yield batch(schema, doc_id=b.column(0), th=b.column(2), fp=pa.array(fp), bands=pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), pa.array(keys)))
-
-    return arrow_map(spread(only(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, fp long, bands array<long>")
-
-
-def cross_pairs(nodes: np.ndarray, roots: np.ndarray, key: int, last: bool, leaders: int, hot: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(u, v, whether pairs are left) of a bucket's nodes in different components."""
-    n = len(nodes)
-    _, sizes = np.unique(roots, return_counts=True)
-    if last or (n * n - int((sizes * sizes).sum())) // 2 <= hot * n:
-        i, j = [], []
-        order = np.argsort(roots, kind="stable")
-        ends = np.cumsum(sizes)
-        for a, e in zip(ends - sizes, ends, strict=True):  # each component with those behind it
-            i.append(np.repeat(order[a:e], n - e))
-            j.append(np.tile(order[e:], e - a))
-        return nodes[np.concatenate(i)], nodes[np.concatenate(j)], False
-    with np.errstate(over="ignore"):
-        spread = (nodes.view(np.uint64) ^ np.uint64((key + leaders) & (2**64 - 1))) * _FACTORS[leaders]
-    lead = int(spread.argmin())
-    other = roots != roots[lead]
-    return np.full(int(other.sum()), nodes[lead]), nodes[other], True
+            yield batch(schema, doc_id=b.column(0), th=b.column(2), fp=pa.array(fp), prints=pa.ListArray.from_arrays(np.arange(0, len(prints) + 1, PRINTS, dtype=np.int32), pa.array(prints)))
+
+    return arrow_map(spread(only(docs, "doc_id", "text")).withColumn("th", F.xxhash64("text")), run, "doc_id long, th long, fp long, prints array<long>")
+
+
+def bucket_rows(prints: DataFrame) -> DataFrame:
+    """node, its first two fingerprints (one, two) and the keys of its buckets, as of ``band_keys``."""
+    nodes = prints.groupBy("th").agg(F.first("prints").alias("prints"))
+    each = nodes.select(F.col("th").alias("node"), F.col("prints")[0].alias("one"), F.col("prints")[1].alias("two"), F.posexplode("prints").alias("k", "fp"))
+    blocks = F.array(*[((F.col("k") * 4 + b).cast("long") * 65536).bitwiseOR(F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(65535).cast("long"))) for b in range(4)])
+    return each.select("node", "one", "two", F.explode(blocks).alias("key"))
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether nodes are near: ``a`` and ``b`` have their first two fingerprints as rows."""
+    one = np.bitwise_count(a[0] ^ b[0])
+    return (one <= RADIUS_ONE) & (one + np.bitwise_count(a[1] ^ b[1]) <= RADIUS_TWO)
+
+
+def near_pairs(roots: np.ndarray, prints: np.ndarray):
+    """Places of a bucket's near pairs in different components, some at a time."""
+    index = GrayIndex(prints[0])
+    step = max(16, (1 << 20) // len(roots))
+    for k in range(0, len(roots), step):
+        q, j = index.search(index.values[k : k + step], RADIUS_ONE)
+        q = q + k
+        i, j = index.order[q[q < j]], index.order[j[q < j]]
+        keep = (roots[i] != roots[j]) & near(prints[:, i], prints[:, j])
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def leader_pairs(nodes: np.ndarray, roots: np.ndarray, prints: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes with the leader near them: in an order by hash, the first that no leader before has. The first leader is with itself, too."""
+    order = np.argsort((nodes.view(np.uint64) ^ np.uint64(salt & (2**64 - 1))) * _FACTORS[0])
+    us, vs, left = [nodes[order[:1]]], [nodes[order[:1]]], order
+    for _ in range(AT_ONCE):
+        if not len(left):
+            break
+        lead, left = left[0], left[1:]
+        found = near(prints[:, lead][:, None], prints[:, left])
+        other = left[found & (roots[left] != roots[lead])]
+        us.append(np.full(len(other), nodes[lead]))
+        vs.append(nodes[other])
+        left = left[~found]
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def bucket_pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """``rows``: key, node, root. Pairs u, v to check, and the key where a bucket has more to come."""
+    """``rows``: key, node, root, one, two. Pairs u, v to check, and the key where a bucket has more to come."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64())])
     hot = HOT  # as it is here, not in the workers
-    dealt = rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "root")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "root", "one", "two")
+
+    def out(u, v, key=None):
+        return batch(schema, u=pa.array(u), v=pa.array(v), key=pa.nulls(len(u), pa.int64()) if key is None else pa.array(np.full(len(u), key)))
+
+    def large(key: int, nodes: np.ndarray, roots: np.ndarray, prints: np.ndarray):
+        found, n = [], 0
+        for i, j in near_pairs(roots, prints):
+            if round_ >= LEADERS:
+                yield out(nodes[i], nodes[j])
+                continue
+            found.append((nodes[i], nodes[j]))
+            n += len(i)
+            if n > hot * len(nodes):
+                yield out(*leader_pairs(nodes, roots, prints, key * LEADERS + round_), key)
+                return
+        if found:
+            yield out(np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found]))
 
     def pairs(held: np.ndarray):
-        edge = np.flatnonzero(held[0, 1:] != held[0, :-1]) + 1
-        starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [held.shape[1]]])
-        us, vs, ks = [], [], []
-        for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            nodes, at = np.unique(held[1, a:e], return_index=True)
-            if len(nodes) > 1:
-                u, v, more = cross_pairs(nodes, held[2, a:e][at], int(held[0, a]), round_ >= LEADERS, round_, hot)
-                us.append(u)
-                vs.append(v)
-                ks.append(pa.array(np.full(len(u), held[0, a])) if more else pa.nulls(len(u), pa.int64()))
-        if us:
-            yield batch(schema, u=pa.array(np.concatenate(us)), v=pa.array(np.concatenate(vs)), key=pa.concat_arrays(ks))
+        key, nodes, roots, prints = held[0], held[1], held[2], held[3:].view(np.uint64)
+        edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts = np.concatenate([[0], edge])
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        leaf = np.repeat(sizes <= min(FAN, hot), sizes)
+        for k in range(1, FAN):
+            at = np.flatnonzero((key[k:] == key[:-k]) & leaf[k:] & (roots[k:] != roots[:-k]))
+            at = at[near(prints[:, at], prints[:, at + k])]
+            if len(at):
+                yield out(nodes[at], nodes[at + k])
+        some = (sizes > min(FAN, hot)) & (sizes > 1)
+        for a, e in zip(starts[some].tolist(), (starts + sizes)[some].tolist(), strict=True):
+            yield from large(int(key[a]), nodes[a:e], roots[a:e], prints[:, a:e])
 
     def run(batches):
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((5, 0), np.int64)
         for b in batches:
             held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])], axis=1)
             whole = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
@@ -190,7 +244,7 @@ def checked(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th and node of each row of ``docs``; n and root, the smallest th of its component, of linked nodes)."""
     prints = materialise(sketches(docs), "sketches")
-    rows = prints.groupBy("th").agg(F.first("bands").alias("bands")).select(F.col("th").alias("node"), F.explode("bands").alias("key"))
+    rows = bucket_rows(prints)
     edges = None
     links = rows.withColumn("root", F.col("node"))  # nothing is joined yet
     for k in range(LEADERS + 1):
@@ -204,9 +258,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
         more = pairs.where("key is not null").select("key").distinct()
         if more.isEmpty():
             break
-        # a bucket's nodes that one of its leaders met aren't all: those of the leader's component are there too
+        # all nodes of such a bucket, those of a leader's component too
         left = rows.join(more, "key", "left_semi")
-        links = left.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        links = left.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"), "one", "two")
     return prints.select("doc_id", "th", F.col("th").alias("node")), roots.select(F.col("node").alias("n"), "root")
 
 
