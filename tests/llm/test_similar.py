@@ -86,8 +86,24 @@ def test_candidates_are_near_fingerprints(spark):
     found = similar.bucket_rows(rows)
     for k, s in enumerate(sets[:3]):
         assert {r.key for r in found.where(f"node = {k}").collect()} == set(similar.band_keys(s).tolist())
-    got = {tuple(sorted((r.u, r.v))) for r in similar.bucket_pairs(found.withColumn("root", found["node"]), 0).collect()}
+    got = {tuple(sorted((r.u, r.v))) for r in similar.bucket_pairs(found.withColumn("root", found["node"]), similar.LEADERS).collect()}
     keys = [set(similar.band_keys(s).tolist()) for s in sets]
     near = {(i, j) for j in range(len(sets)) for i in range(j) if keys[i] & keys[j] and similar.near(prints[i, :2], prints[j, :2])}
     assert got == near
     assert len(near) > 50
+
+
+def test_links_of_near_copies_grow_with_their_number(spark):
+    """A group of near copies gives few pairs a node, in small buckets and large ones, and stays one group."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[5:], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(150)]
+    rows = spark.createDataFrame([(k, similar.prints_of(s).view(np.int64).tolist()) for k, s in enumerate(sets)], "th long, prints array<long>")
+    found = similar.bucket_rows(rows)
+    pairs = {tuple(sorted((r.u, r.v))) for r in similar.bucket_pairs(found.withColumn("root", found["node"]), 0).collect() if r.u != r.v}
+    assert len(pairs) < 40 * len(sets) < len(sets) ** 2 / 2
+    root = list(range(len(sets)))
+    for _ in range(9):
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    assert set(root) == {0}

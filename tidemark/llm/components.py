@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise
 
+#: Edges of a round that a task writes, at least, where there are more than two such tasks a core.
+ROWS_A_FILE = 50_000
+
 
 def _signature(edges: DataFrame) -> tuple[int, int, int]:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h"), F.sum(F.pmod(F.col("v"), F.lit(1 << 40))).alias("v")).first()
@@ -40,7 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _signature(edges)
     while before[0]:
-        edges = materialise(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        # few edges are written by few tasks; each file costs the executor a process of its own
+        few = max(2 * edges.sparkSession.sparkContext.defaultParallelism, before[0] // ROWS_A_FILE)
+        edges = materialise(_small_star(_large_star(edges).distinct()).distinct().coalesce(few), "edges")
         now = _signature(edges)
         if now == before:
             break

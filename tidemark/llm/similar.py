@@ -15,7 +15,7 @@ first, and of these all within ``RADIUS_TWO`` bits of both (23 and 36; at 0.8 th
 deviations of 2.9 and 4.1). What is found is a candidate only: every link is checked on the two texts themselves.
 
 Scale. Equal texts are one node. A bucket of at most ``FAN`` nodes is one leaf of the index, which is compared
-at once with the others; a larger one is searched from the top. If it has more than ``HOT`` near pairs a node, it
+at once with the others; a larger one is searched from the top. If either has more than ``HOT`` near pairs a node, it
 gives the pairs with leaders, each with the nodes near it that none before has; once these are checked, only nodes of different
 components are still to compare, and after ``LEADERS`` rounds all that are left. No near pair of a
 bucket is dropped, but those that are in one component already.
@@ -43,7 +43,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 PRINTS = 26
 BANDS = 4 * PRINTS
 RADIUS_ONE, RADIUS_TWO = 23, 36
-HOT, LEADERS = 32, 3
+HOT, LEADERS = 2, 3
 #: Leaders of a bucket in one round.
 AT_ONCE = 64
 _RNG = np.random.default_rng(3)
@@ -170,7 +170,7 @@ def bucket_pairs(rows: DataFrame, round_: int) -> DataFrame:
             found.append((nodes[i], nodes[j]))
             n += len(i)
             if n > hot * len(nodes):
-                yield out(*leader_pairs(nodes, roots, prints, key * LEADERS + round_), key)
+                yield out(*leader_pairs(nodes, roots, prints, round_), key)
                 return
         if found:
             yield out(np.concatenate([u for u, _ in found]), np.concatenate([v for _, v in found]))
@@ -180,13 +180,20 @@ def bucket_pairs(rows: DataFrame, round_: int) -> DataFrame:
         edge = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts = np.concatenate([[0], edge])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        leaf = np.repeat(sizes <= min(FAN, hot), sizes)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        leaf = sizes <= (FAN if hot else 0)
+        is_leaf, us, vs = leaf[bucket], [], []
         for k in range(1, FAN):
-            at = np.flatnonzero((key[k:] == key[:-k]) & leaf[k:] & (roots[k:] != roots[:-k]))
+            at = np.flatnonzero((bucket[k:] == bucket[:-k]) & is_leaf[k:] & (roots[k:] != roots[:-k]))
             at = at[near(prints[:, at], prints[:, at + k])]
-            if len(at):
-                yield out(nodes[at], nodes[at + k])
-        some = (sizes > min(FAN, hot)) & (sizes > 1)
+            us.append(at)
+            vs.append(at + k)
+        u, v = np.concatenate(us), np.concatenate(vs)
+        dense = leaf & (np.bincount(bucket[u], minlength=len(sizes)) > hot * sizes) & (round_ < LEADERS)
+        keep = ~dense[bucket[u]]
+        if keep.any():
+            yield out(nodes[u[keep]], nodes[v[keep]])
+        some = (~leaf | dense) & (sizes > 1)
         for a, e in zip(starts[some].tolist(), (starts + sizes)[some].tolist(), strict=True):
             yield from large(int(key[a]), nodes[a:e], roots[a:e], prints[:, a:e])
 
