@@ -107,3 +107,49 @@ def test_links_of_near_copies_grow_with_their_number(spark):
         for u, v in pairs:
             root[u] = root[v] = min(root[u], root[v])
     assert set(root) == {0}
+
+
+def test_rows_of_a_group_that_is_near_throughout(spark, monkeypatch):
+    """Texts that are nearly similar, each to each, are compared without a row for each pair, and every link is found."""
+    rng = random.Random(21)
+    vocabulary = ["w%d" % k for k in range(5000)]
+    base = rng.choices(vocabulary, k=300)
+    words = []
+    for _ in range(500):  # a similarity of about 0.7
+        words.append(list(base))
+        for at in rng.sample(range(300), 5):
+            words[-1][at] = rng.choice(vocabulary)
+    for w in rng.sample(words, 60):  # and some of over 0.8
+        words.append(list(w))
+        for at in rng.sample(range(300), 2):
+            words[-1][at] = rng.choice(vocabulary)
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)]
+    sets = brute_sets([r[1] for r in rows])
+    label, near = list(range(len(rows))), 0
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            near += both >= 0.6 * (len(sets[i]) + len(sets[j]) - both)
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                least, other = sorted((label[i], label[j]))
+                label = [least if x == other else x for x in label]
+    assert near > 0.9 * len(rows) * (len(rows) - 1) / 2 and 0.3 * len(rows) < len(set(label)) < len(rows) - 30
+    monkeypatch.setattr(similar, "BLOCK", 64, raising=False)
+    asked, made, check, write = [], [], similar.checked, similar.materialise
+
+    def checked(docs, pairs, *more):
+        asked.append(pairs.where("u <> v").select("u", "v").distinct().count())
+        return check(docs, pairs, *more)
+
+    def materialise(df, name):
+        out = write(df, name)
+        if name == "blocks":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "checked", checked)
+    monkeypatch.setattr(similar, "materialise", materialise)
+    kept = similar.one_of_each_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert sum(asked) < 40 * len(rows) < near / 6
+    assert len(made) == 1 and 2 * len(rows) < made[0] < 16 * len(rows)
