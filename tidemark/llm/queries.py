@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import divergence
 from tidemark.llm.common import table
 
 
@@ -75,6 +76,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit_filters(docs))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -86,8 +93,10 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op6_suffix_array": op6_suffix_array,
     "op7_token_output": op7_token_output,
+    "op11_source_divergence": op11_source_divergence,
 }
 
+
 def _mixing_sql(target_entropy: float, max_epochs: float, block_rows: int) -> str:
     """The mixture with a budget that takes every source once, with bisection as a recursion over lists."""
     unit = "(CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) / 281474976710656.0)"
@@ -141,4 +150,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
         FROM m""",
+    "op11_source_divergence": divergence.SQL,
 }
