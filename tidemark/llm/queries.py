@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import divergence
+from tidemark.llm import divergence, lexical
 from tidemark.llm.common import table
 
 
@@ -82,6 +82,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
@@ -94,6 +100,7 @@ QUERIES = {
     "op6_suffix_array": op6_suffix_array,
     "op7_token_output": op7_token_output,
     "op11_source_divergence": op11_source_divergence,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 
@@ -151,4 +158,5 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
         FROM m""",
     "op11_source_divergence": divergence.SQL,
+    "op13_lexical_search": lexical.SQL,
 }
