@@ -82,6 +82,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.multiprobe import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lexical import search
 
@@ -100,6 +106,7 @@ QUERIES = {
     "op6_suffix_array": op6_suffix_array,
     "op7_token_output": op7_token_output,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ann": op12_ann,
     "op13_lexical_search": op13_lexical_search,
 }
 
