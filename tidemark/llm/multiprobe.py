@@ -38,7 +38,7 @@ from tidemark.session import materialise
 
 TABLES = 8
 #: Chance that a neighbour is met, by which visits end.
-TARGET = 0.96
+TARGET = 0.95
 #: Buckets that are considered in a table.
 PROBES = 256
 #: Rows and queries on which the index is fitted.
@@ -46,7 +46,9 @@ FIT_ROWS, FIT_QUERIES = 2000, 64
 #: Projections and widths (of the neighbours' distance) that are tried.
 PROJECTIONS, WIDTHS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20), (1.5, 2.0, 3.0)
 #: Rows that cost as much to compare as a bucket to visit.
-VISIT = 300
+VISIT = 100
+#: Times all rows that a query counts which no setting's visits suffice for.
+SHORT = 10 * TABLES
 #: Rows of a block of a bucket at least and at most.
 SMALL, LARGE = 256, 8192
 #: Rows of results that a task gathers before it merges them.
@@ -271,8 +273,8 @@ def fit(index: DataFrame, queries: DataFrame, n: int, largest: float, top: int)
             held = [dict(zip(*np.unique(cells[:, t], return_counts=True), strict=True)) for t in range(TABLES)]
             cost = 0.0
             for tables, at, enough in hashing.visits(q):
-                met = sum(held[t].get(c, 0) for t, c in zip(tables.tolist(), at.tolist(), strict=True)) / len(rows) if enough else 1
-                cost += met * n + VISIT * (len(at) if enough else n / LARGE)
+                met = sum(held[t].get(c, 0) for t, c in zip(tables.tolist(), at.tolist(), strict=True)) / len(rows)
+                cost += met * n + VISIT * len(at) if enough else SHORT * n
             if cost < least:
                 best, least = hashing, cost
     return best
