@@ -9,8 +9,9 @@ gives each bucket beside the query's own a chance to hold it. The buckets of all
 chance until the chance that no table has it is below 1 - ``TARGET``. K, W and r are fitted on ``FIT_QUERIES`` queries, whose
 neighbours are found exactly, and ``FIT_ROWS`` rows: the cheapest setting by rows compared and buckets visited.
 
-Buckets are compared as blocks of matrices in numpy, and only a block's best leave it; candidates of all
-tables are merged by id and ranked by the inner product in double precision on the original vectors. No bucket is cut
+Buckets are compared as blocks of matrices in numpy, and only a block's best leave it. The first ``TABLES`` buckets
+of a query go first, which gives it a score that its last result has at least, and of the others only what
+reaches it leaves a block. Candidates of all tables are merged by id and ranked by the inner product in double precision on the original vectors. No bucket is cut
 short: one with many rows or many visits is dealt over a grid of blocks of rows and visits. Queries that
 ``PROBES`` buckets a table don't bring to the target, or that found fewer than they must return, are compared with every row.
 
@@ -152,15 +153,16 @@ _FOUND = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("score", pa.float64()
 _FOUND_DDL = "q long, c long, score double"
 
 
-def _best_of(q: np.ndarray, qv: np.ndarray, c: np.ndarray, cv: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``top`` rows of a block for each query, by the inner product of the vectors as they are."""
+def _best_of(q: np.ndarray, qv: np.ndarray, least: np.ndarray, c: np.ndarray, cv: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` rows of a block for each query that reach its ``least``, by the inner product of the vectors as they are."""
     near = qv @ cv.T
     keep = min(len(c), top + 8)  # more than needed, as a matrix product rounds in another order
     at = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(c) else np.broadcast_to(np.arange(len(c)), near.shape)
     score = np.concatenate([np.einsum("ijk,ik->ij", cv[at[k : k + 512]], qv[k : k + 512]) for k in range(0, len(q), 512)])
     order = np.lexsort((c[at], -score))[:, :top]
     at, score = np.take_along_axis(at, order, 1), np.take_along_axis(score, order, 1)
-    return np.repeat(q, at.shape[1]), c[at].ravel(), score.ravel()
+    good = score >= least[:, None]
+    return np.repeat(q, good.sum(1)), c[at][good], score[good]
 
 
 def _merged(q: np.ndarray, c: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +195,7 @@ def _compare(top: int):
         key, rows, ids = None, [], []
         for b in batches:
             keys = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)  # table, cell, i, j, kind
-            who, v = b.column(5).to_numpy(), matrix(b.column(6))
+            who, v, least = b.column(5).to_numpy(), matrix(b.column(6)), b.column(7).to_numpy()
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if e == s:
@@ -206,7 +208,7 @@ def _compare(top: int):
                 elif rows:
                     if len(rows) > 1:
                         rows, ids = [np.concatenate(rows)], [np.concatenate(ids)]
-                    out.append(_best_of(who[s:e], v[s:e], ids[0], rows[0], top))
+                    out.append(_best_of(who[s:e], v[s:e], least[s:e], ids[0], rows[0], top))
                     size += len(out[-1][0])
                     if size > GATHER:
                         yield from flush()
@@ -216,7 +218,7 @@ def _compare(top: int):
 
 
 def _blocks(rows: DataFrame, visits: DataFrame, top: int, partitions: int, block: int) -> DataFrame:
-    """(q, c, score) of rows (table, cell, cid, v) and visits (table, cell, cid, v) of the same buckets, in blocks of both."""
+    """(q, c, score) of rows (table, cell, cid, v) and visits (table, cell, cid, v, least) of the same buckets, in blocks of both."""
     of = ["table", "cell"]
     n_rows = rows.groupBy(*of).agg(F.ceil(F.count("*") / block).alias("nr"))
     n_visits = visits.groupBy(*of).agg(F.ceil(F.count("*") / block).alias("nv"))
@@ -228,9 +230,9 @@ def _blocks(rows: DataFrame, visits: DataFrame, top: int, partitions: int, block
         i = F.pmod(mine, nr) if kind == 0 else F.explode(F.sequence(F.lit(0).cast("long"), nr - 1))
         both = df.join(large, of, "left").withColumn("i", i)
         j = F.pmod(mine, nv) if kind == 1 else F.explode(F.sequence(F.lit(0).cast("long"), nv - 1))
-        return both.withColumn("j", j).select(F.col("table").cast("long").alias("table"), "cell", "i", "j", F.lit(kind).cast("long").alias("kind"), "cid", "v")
+        return both.withColumn("j", j).select(F.col("table").cast("long").alias("table"), "cell", "i", "j", F.lit(kind).cast("long").alias("kind"), "cid", "v", "least")
 
-    together = dealt(rows, 0).unionAll(dealt(visits, 1)).repartition(partitions, "table", "cell", "i", "j").sortWithinPartitions("table", "cell", "i", "j", "kind")
+    together = dealt(rows.withColumn("least", F.lit(0.0)), 0).unionAll(dealt(visits, 1)).repartition(partitions, "table", "cell", "i", "j").sortWithinPartitions("table", "cell", "i", "j", "kind")
     return arrow_map(together, _compare(top), _FOUND_DDL)
 
 
@@ -341,8 +343,14 @@ def search(table: DataFrame, top: int = 20, every: int = 20) -> DataFrame:
     hashes = materialise(hashed(index, hashing), "hashed")
     visits = materialise(visited(queries, hashing), "visits")
     in_cells = hashes.select("cid", "v", F.posexplode("cells").alias("table", "cell"))
-    to_cells = visits.where("enough").select("cid", "v", F.explode(F.arrays_zip("tables", "cells")).alias("e")).select("cid", "v", F.col("e.tables").alias("table"), F.col("e.cells").alias("cell"))
-    found = materialise(_lists(_blocks(in_cells, to_cells, top + 1, partitions, block), index, top), "found")
+    of_query = visits.where("enough").select("cid", "v", F.posexplode(F.arrays_zip("tables", "cells")).alias("k", "e"))
+    to_cells = of_query.select("cid", "v", "k", F.col("e.tables").alias("table"), F.col("e.cells").alias("cell"), F.lit(float("-inf")).alias("least"))
+    first = materialise(_blocks(in_cells, to_cells.where(F.col("k") < TABLES), top + 1, partitions, block), "first")
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    last = first.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("_k", F.row_number().over(by_score)).where(F.col("_k") == top + 1).select(F.col("q").alias("cid"), F.col("score").alias("_last"))
+    others = to_cells.where(F.col("k") >= TABLES).join(last, "cid", "left").withColumn("least", F.coalesce("_last", "least"))
+    more = _blocks(in_cells, others, top + 1, partitions, block)
+    found = materialise(_lists(first.unionAll(more), index, top), "found")
 
     # those without enough visits or ids are compared with every row
     got = found.groupBy("q").agg(F.count("*").alias("n"))
@@ -350,7 +358,7 @@ def search(table: DataFrame, top: int = 20, every: int = 20) -> DataFrame:
     if not rest.isEmpty():
         whole, of = F.lit(-1).alias("table"), -(-n // block)
         every_row = hashes.select(whole, F.pmod(F.xxhash64(F.lit("block"), "cid"), F.lit(of)).alias("cell"), "cid", "v")
-        to_all = rest.select(whole, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias("cell"), "cid", "v")
+        to_all = rest.select(whole, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias("cell"), "cid", "v", F.lit(float("-inf")).alias("least"))
         exact = _lists(_blocks(every_row, to_all, top + 1, partitions, block), index, top)
         found = found.join(rest.select(F.col("cid").alias("q")), "q", "left_anti").unionAll(exact)
 
