@@ -611,7 +611,7 @@ def rate_weighted(spark, sf):
 def lag_hysteresis(spark, sf):
     """Hourly counts as lag samples: stop above 16, start again at 12."""
     hours = _events(spark, sf).groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("hour")).agg(F.count(F.lit(1)).alias("lag"))
-    return flow.lag_signals(hours, ["hour"], "lag", 16, 12).select("hour", "started")
+    return flow.lag_signals(hours, ["hour"], "lag", 16, 12, F.floor(F.col("hour") / 168)).select("hour", "started")
 
 
 # Context and metrics -------------------------------------------------------------
@@ -670,3 +670,4 @@ def registry_bodies(spark, sf):
 
 
 from tidemark.plans import delivery  # noqa: E402, F401  # adds its queries to those above
+from tidemark.plans import indexed  # noqa: E402, F401

@@ -332,7 +332,7 @@ def commit_on_revoke(spark, sf):
 def commit_windows_timed(spark, sf):
     """Commit windows of 500 acknowledgements or a year, all partitions of a consumer together."""
     rows = _acked(spark, sf).select("partition", "offset", "ack_ts", F.col("value.event_id").alias("event_id"), F.lit("c").alias("consumer"))
-    return windowing.commit_windows(rows, ["consumer"], "ack_ts", ["ack_ts", "event_id"], ["partition"], "offset", 500, 365 * 86400.0).select(F.col(windowing.NO).alias("window_no"), "partition", "position")
+    return windowing.commit_windows(rows, ["consumer"], "ack_ts", ["ack_ts", "event_id"], ["partition"], "offset", 500, 365 * 86400.0, chunk=F.floor(F.unix_micros(F.col("ack_ts").cast("timestamp")) / 86_400_000_000), piece=2000).select(F.col(windowing.NO).alias("window_no"), "partition", "position")
 
 
 # Flow ----------------------------------------------------------------------------

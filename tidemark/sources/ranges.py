@@ -121,11 +121,19 @@ def _high(p: Position) -> Column:
     }[p.kind]().cast("long")
 
 
+def times_of(provider: RangeProvider) -> list[int]:
+    """The times whose offsets a provider's ranges need."""
+    return _times(provider.every) + [t for r in (provider.by_partition or {}).values() for t in _times(r)]
+
+
 def resolve(records: DataFrame, provider: RangeProvider, committed: DataFrame | None = None) -> DataFrame:
+    """The provider's ranges over all of ``records``; ``log.Log.resolve`` finds them by an index instead."""
+    return resolve_bounds(bounds(records, times_of(provider), committed), provider)
+
+
+def resolve_bounds(table: DataFrame, provider: RangeProvider) -> DataFrame:
     """topic, partition, min_offset, max_offset (both included) and wave, when it is its turn; empty ranges are left out."""
     cases = [(k, r) for k, r in (provider.by_partition or {}).items()]
-    times = _times(provider.every) + [t for _, r in cases for t in _times(r)]
-    table = bounds(records, times, committed)
     none = F.lit(None).cast("long")
     low = _low(provider.every.low) if provider.every else none
     high = _high(provider.every.high) if provider.every else none
@@ -173,8 +181,12 @@ def read_up_to(records: DataFrame, high: Position, committed: DataFrame) -> tupl
 
 def lag(records: DataFrame, committed: DataFrame, reset: str = "none") -> DataFrame:
     """latest, committed and lag of each partition. Uncommitted ones are reset: earliest, latest, or left out."""
+    return lag_of(bounds(records, committed=committed), reset)
+
+
+def lag_of(table: DataFrame, reset: str = "none") -> DataFrame:
     start = {"earliest": F.col("earliest"), "latest": F.col("latest"), "none": F.lit(None).cast("long")}[reset]
-    out = bounds(records, committed=committed).withColumn("committed", F.coalesce("committed", start))
+    out = table.withColumn("committed", F.coalesce("committed", start))
     return out.where("committed is not null").select(*KEYS, "latest", "committed", (F.col("latest") - F.col("committed")).alias("lag"))
 
 
