@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import windowing
-from tidemark.plans.catalogue import _TOPIC_SQL, _committed, _events, _topic, query
+from tidemark.operators import rates, windowing
+from tidemark.plans.catalogue import _TOPIC_SQL, _committed, _events, _t, _topic, query
 from tidemark.session import new_dir
 from tidemark.sources import log, ranges
 
@@ -83,3 +83,28 @@ def buffer_hot_key(spark, sf):
     """All events as one key in the order of their ids, so times are out of order."""
     got = windowing.batches(_events(spark, sf), [], "ts", ["event_id"], 86400.0, 12, F.col("event_id").cast("string"), chunk=F.floor(F.col("event_id") / 700), piece=400)
     return got.select(windowing.NO, F.array_join("items", ",").alias("items"), "n")
+
+
+# Rates ---------------------------------------------------------------------------
+
+
+@query("""
+    WITH RECURSIVE rates AS (SELECT CAST(r_regionkey AS BIGINT) AS k, r_regionkey * 518400.0 AS start, (3 * r_regionkey + 4) % 5 AS c, coalesce(lead(r_regionkey * 518400.0) OVER (ORDER BY r_regionkey), 'Infinity'::DOUBLE) AS stop FROM region),
+    e AS MATERIALIZED (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, (epoch_us(ts) - 1704067200000000) / 1000000.0 AS a, 1.0 + event_id % 3 AS w FROM events),
+    walk AS (
+        SELECT user_id, 1::BIGINT AS n, 0::BIGINT AS k, '-Infinity'::DOUBLE AS r, '-Infinity'::DOUBLE AS z, NULL::DOUBLE AS left_at, 0::BIGINT AS was FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+        SELECT user_id, CASE WHEN t < stop THEN n + 1 ELSE n END, CASE WHEN t < stop THEN k ELSE k + 1 END, CASE WHEN t < stop THEN t ELSE stop END,
+               CASE WHEN t < stop THEN greatest(z, t - 86400) + w * 86400 / c WHEN z = '-Infinity'::DOUBLE THEN z WHEN c = 0 THEN stop ELSE greatest(z, stop - 86400) END,
+               CASE WHEN t < stop THEN t END, n
+        FROM (SELECT walk.user_id, walk.n, walk.k, walk.z, e.w, rates.c, rates.stop,
+                     CASE WHEN rates.c = 0 THEN 'Infinity'::DOUBLE ELSE greatest(e.a, walk.r, walk.z + least(e.w, rates.c) * 86400 / rates.c) END AS t
+              FROM walk JOIN e ON e.user_id = walk.user_id AND e.n = walk.n JOIN rates ON rates.k = walk.k))
+    SELECT e.event_id, round(walk.left_at, 3) AS release_s FROM e LEFT JOIN walk ON walk.user_id = e.user_id AND walk.was = e.n AND walk.left_at IS NOT NULL""")
+def rate_changes(spark, sf):
+    """A bucket a day for each user whose size changes every six days: 4, 2, none at all, 3, then 1; weights of one to three."""
+    e = _events(spark, sf)
+    arrival = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6
+    phases = _t(spark, sf, "region").select((F.col("r_regionkey") * 518400.0).alias("from_s"), ((3 * F.col("r_regionkey") + 4) % 5).alias("count"), F.lit(86400.0).alias("duration_s"))
+    limits = e.select("user_id").distinct().join(F.broadcast(phases))  # five rates for each user
+    got = rates.release_under_rates(e, ["user_id"], ["event_id"], arrival, limits, 1.0 + F.col("event_id") % 3, chunk=F.floor(F.col("event_id") / 2000), piece=20)
+    return got.select("event_id", F.round("release_s", 3).alias("release_s"))
