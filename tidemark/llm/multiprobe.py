@@ -101,9 +101,10 @@ class Hashing:
         more = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
         return (self._slots(np.hstack([x, more[:, None]]))[0] * self.mix).sum(2)
 
-    def visits(self, q: np.ndarray, probes: int = PROBES) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def visits(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """For each query: tables and buckets in descending chance, and whether they suffice."""
         slots, within = self._slots(unit(q))
+        probes = PROBES
         edges = np.append(_STEPS, _STEPS[-1] + 1)
         chance = np.diff(below((edges - within[..., None]) * (self.width / self.r)), axis=-1)
         chance = np.log(np.maximum(chance, 1e-30))  # (queries, tables, projections, steps)
