@@ -11,7 +11,10 @@ text, such as the title; those subtrees are the article. A branch without inner
 sum to show, so it must reach the core's own density; headings right before a selected subtree belong to it.
 
 Names break ties, after that. An element (menu, page header or footer, aside, form), role, class
-or id word marks a node as chrome. A marked core gives way to the unmarked node with the
+or id marks a node as chrome. A class or id does so as a whole: all its words are of chrome (``NAMES``) or of layout
+(``LAYOUT``), so ``cookie-notice`` and ``site-footer`` do, and ``cookies-and-tea`` doesn't. Chrome words among others only count where the node is mostly
+links or, for classes outside an ``article``, below the threshold. An id that a heading in its node repeats says what the node is about:
+inside an ``article`` it counts like a word that prose uses as well. A marked core gives way to the unmarked node with the
 largest sum, if that has an eighth of it at least. A marked node among what was selected goes,
 unless it holds over half of the body's unlinked text and the core is in it or hardly anything
 else is left; comments by readers go whatever they hold. On headings and paragraphs only whole classes count, and words that prose
@@ -72,6 +75,12 @@ NAMES = frozenset(
     "comment comments disqus reply replies respond share sharing social follow related recommended recommendations newsletter subscribe "
     "subscription signup login search copyright skip hidden tags toc".split()
 )
+#: Words beside them in names that say nothing but where or how something stands.
+LAYOUT = frozenset(
+    "site page main top bottom left right upper lower list item items box bar block area container wrapper wrap inner outer section row column col group panel thread "
+    "link links post posts entry article articles content story text body title button buttons icon icons form field primary secondary global mobile desktop sticky fixed "
+    "slot unit zone placement inline large small medium leaderboard skyscraper logo wp js ui jetpack wpdiscuz google facebook twitter taboola outbrain more most read popular latest".split()
+)
 #: Chrome words that prose and its layout use as well.
 LOOSE = frozenset("share sharing social follow tags side rail head header foot search skip related recommended notice notices alert menu banner toc reply respond promotion".split())
 #: Of these also containers may hold article text.
@@ -93,42 +102,58 @@ _BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "unseen", "marked", "loose", "holds", "readers", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "down", "unseen", "marked", "loose", "slight", "own_id", "holds", "readers", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: Node | None, attributes: str = ""):
         self.tag, self.up = tag, up
-        self.unseen, self.marked, self.loose, self.holds, self.readers = _kind(tag, attributes)
+        self.unseen = self.marked = self.loose = self.holds = self.readers = False
+        self.slight, self.own_id = "", frozenset()
+        self._name(attributes)
         self.down: list[Node | str] = []
 
-
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool, bool]:
-    """(never text, marked as chrome, only by loose words, named as the article, named as comments)."""
-    if tag in UNSEEN:
-        return True, False, False, False, False
-    marked = tag in CHROME
-    if not attributes.strip():
-        return False, marked, False, False, False
-    words: set[str] = set()
-    for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), entities.unescape(a or b or c)
-        if name in ("class", "id"):
-            if tag not in PROSE:
-                words.update(w.lower() for w in _WORD.findall(value))
-            elif name == "class":
-                words.update(value.lower().split())
-        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-            return True, False, False, False, False
-        elif tag not in KEPT and name == "role" and value.strip().lower() in ROLES:
-            marked = True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, False, False, False, False
-    holds = bool(words & CONTENT)
-    names = words & NAMES
-    if holds:
-        names -= {"header", "head"}
-    named = bool(names) and tag not in KEPT
-    loose = named and not marked and not names - (LOOSE if tag in PROSE else LOOSE_BOX)
-    return False, marked or named, loose, holds and not names, bool(names & READERS) and not holds
+    def _name(self, attributes: str) -> None:
+        """``marked``: chrome, ``loose``: by words of prose only, ``slight``: names ("class" or "id") with a chrome word among others,
+        ``own_id``: words of the id that marks it by itself, ``holds``: named as the article, ``readers``: named as comments."""
+        tag = self.tag
+        self.unseen = tag in UNSEEN
+        self.marked = by_element = tag in CHROME
+        if self.unseen or not attributes.strip():
+            return
+        words: set[str] = set()
+        names: dict[str, set[str]] = {"class": set(), "id": set()}
+        some: set[str] = set()
+        for name, a, b, c in _ATTR.findall(attributes):
+            name, value = name.lower(), entities.unescape(a or b or c)
+            if name == "class" or (name == "id" and tag not in PROSE):
+                for token in value.split():
+                    parts = {token.lower()} if tag in PROSE else {w.lower() for w in _WORD.findall(token)}
+                    words |= parts
+                    chrome = parts & NAMES
+                    if all(w in NAMES or w in LAYOUT or w.isdigit() for w in parts):
+                        names[name] |= chrome
+                    elif chrome:
+                        some.add(name)
+            elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+                self.unseen = True
+            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                self.unseen = True
+            elif tag not in KEPT and name == "role" and value.strip().lower() in ROLES:
+                self.marked = by_element = True
+        holds = bool(words & CONTENT)
+        found = names["class"] | names["id"]
+        if holds:
+            found -= {"header", "head"}
+        self.holds = holds and not found
+        self.readers = bool(found & READERS) and not holds
+        if tag in KEPT:
+            return
+        if found:
+            self.marked = True
+            self.loose = not by_element and not found - (LOOSE if tag in PROSE else LOOSE_BOX)
+            if not by_element and not found & names["class"]:
+                self.own_id = frozenset(found)
+        elif some and not by_element:
+            self.slight = "class" if "class" in some else "id"
 
 
 def parse(page: str) -> Node:
@@ -206,7 +231,7 @@ def parse(page: str) -> Node:
             # a wrapper named after what else it holds is no chrome
             x = here
             while x is not None:
-                x.marked = False
+                x.marked, x.slight = False, ""
                 x = x.up
         here.down.append(node)
         if tag in VOID or (attributes.endswith("/") and tag in ("path", "rect", "circle")):
@@ -290,6 +315,8 @@ def selected(nodes: list[Node]) -> tuple[list[Node], Node, float]:
     core = max(nodes, key=lambda x: x.total)
     if core.total <= 0:
         return [body], body, body.density
+    for x in nodes:
+        x.marked = x.marked or (bool(x.slight) and 2 * x.link_chars > x.chars)
     # a menu or a thread of comments may have the largest sum; what it may not be, it isn't
     chrome = set()
     for x in nodes:
@@ -348,22 +375,41 @@ def _with_headings(roots: list[Node], body: Node) -> list[Node]:
     return out
 
 
+def _titled(node: Node) -> bool:
+    """A heading in the node has all words of its id."""
+    for d in node.down:
+        if not isinstance(d, str) and d.tag in ("header", "hgroup"):
+            if _titled_by(node, d.down):
+                return True
+    return _titled_by(node, node.down)
+
+
+def _titled_by(node: Node, down: list) -> bool:
+    return any(not isinstance(d, str) and d.tag in HEADINGS and node.own_id <= {w.lower() for w in re.findall(r"\w+", " ".join(blocks(d)))} for d in down)
+
+
 def _drop_marked(roots: list[Node], nodes: list[Node], core: Node, threshold: float) -> list[Node]:
     """Takes marked nodes out of the selected subtrees, and out of the selection what lies below one."""
     body = nodes[0]
+    inside = {id(x) for x in nodes if x.tag in ("article", "main") and x.chars}
+    named_article = bool(inside)
     for x in nodes:
+        within = x.up is not None and id(x.up) in inside
+        if within:
+            inside.add(id(x))
         x.marked = x.marked or _page_header(x)
+        if x.slight == "class" and x.tag not in PROSE and not within and x.density < threshold:
+            x.marked = True
+        if x.marked and within and x.own_id and not x.readers and _titled(x):
+            x.loose = True
         if x.loose and 2 * x.link_chars <= x.chars and (x.tag in PROSE or x.density >= threshold):
             x.marked = x.readers = False
     for x in reversed(nodes):
         x.plain = 0 if x.tag == "a" else sum(_size(d) if isinstance(d, str) else 0 if d.marked and d.readers else d.plain for d in x.down)
     # a marked node of most of the text stays if the core is in it, or else hardly anything is left
-    inside, below, path = {id(x) for x in nodes if x.tag in ("article", "main") and x.chars}, set(), set()
-    named_article = bool(inside)
+    below, path = set(), set()
     unmarked = 0
     for x in nodes:
-        if x.up is not None and id(x.up) in inside:
-            inside.add(id(x))
         if x.marked or (x.up is not None and id(x.up) in below):
             below.add(id(x))
         elif x.tag != "a":
