@@ -14,9 +14,9 @@ from tidemark.functions import codecs, collecting, offset_codec
 from tidemark.operators import acks, flow, grouping, stateless, windowing
 from tidemark.operators.failure import emit_unless, message_has, passing
 from tidemark.plans.catalogue import _ACKS_SQL, _GROUP_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
-from tidemark.session import new_dir, ship
+from tidemark.session import materialise, new_dir, ship
 from tidemark.sources import kafka, queues, ranges, sinks, topics
-from tidemark.streaming import commits, config, running
+from tidemark.streaming import commits, config, running, stateful
 
 
 def _local(spark: SparkSession, label: str) -> str:
@@ -29,9 +29,9 @@ def _stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _finished(stream: DataFrame, batch) -> None:
+def _finished(stream: DataFrame, batch, mode: str = "append") -> None:
     """Runs a stream's batches through ``batch`` until all that is there was read."""
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", new_dir(stream.sparkSession, "checkpoint")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", new_dir(stream.sparkSession, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -44,6 +44,30 @@ def source_auto_ack(spark, sf):
     return topics.auto_acked(_topic(spark, sf)).groupBy("partition", F.col("value.event_type").alias("event_type"), F.col("_ack").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""
+    WITH {_ACKS_SQL},
+    x AS (SELECT *, max(ack_ts) OVER (PARTITION BY partition ORDER BY "offset") AS executed, lead(ack_ts) OVER w AS next_ts, lead(status) OVER w AS next_status
+          FROM acks WINDOW w AS (PARTITION BY partition ORDER BY "offset")),
+    y AS (SELECT *, coalesce(status = 'ack' AND next_status = 'ack' AND greatest(ack_ts, next_ts) < executed, false) AS collapsed FROM x)
+    SELECT partition, "offset", status, collapsed, CASE WHEN NOT collapsed THEN executed END AS executed, ack_ts AS freed FROM y""")
+def ack_stream(spark, sf):
+    """Arrivals and settlements as a stream of three batches; what executes, collapses and frees its place, in the eager mode."""
+    acked = _acked(spark, sf)
+    arrive = acked.select("partition", "offset", F.lit(None).cast("string").alias("status"), F.col("timestamp").alias("at"))
+    moved = materialise(arrive.unionByName(acked.select("partition", "offset", "status", F.col("ack_ts").alias("at"))), "signals")
+    first, last = moved.select(F.min("at"), F.max("at")).first()
+    folder, out = new_dir(spark, "ack-stream"), new_dir(spark, "ack-executed")
+    for k in range(3):
+        low, high = first + k * (last - first) / 3, first + (k + 1) * (last - first) / 3
+        part = (F.col("at") >= low) & ((F.col("at") < high) if k < 2 else F.lit(True))
+        moved.where(part).coalesce(1).write.mode("append").parquet(folder)  # a batch is a file
+    stream = spark.readStream.schema(moved.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    spark.conf.set(stateful.PROVIDER, stateful.ROCKSDB)
+    _finished(stateful.frontier_stream(stream, "partition", acks.COMPACT_EAGER), running.idempotent_batches(out), "update")
+    got = spark.read.parquet(out)
+    return got.select(F.col("key").cast("int").alias("partition"), "offset", "status", "collapsed", F.col("executed").cast("timestamp_ntz").alias("executed"), F.col("freed").cast("timestamp_ntz").alias("freed"))
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'view'")
 def source_stream_manual(spark, sf):
     """An unbounded read, its batches written once each."""
