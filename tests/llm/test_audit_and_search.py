@@ -217,6 +217,11 @@ def test_neighbours_of_few(spark, n):
     assert recall(list(map(tuple, multiprobe.search(df, 20, 2).collect())), nearest(rows, 20, 2)) == 1.0
 
 
+def test_merging_nothing():
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in multiprobe._merged(none, none, np.zeros(0), 5)] == [0, 0, 0]
+
+
 def test_neighbours_in_blocks(spark, here):
     """Buckets that are dealt over a grid of blocks, and no setting that suffices."""
     rows = embeddings(900, 6, 9)

@@ -170,6 +170,8 @@ def _merged(q: np.ndarray, c: np.ndarray, score: np.ndarray, top: int) -> tuple[
     """Each query's ``top`` of what was found for it, each row once."""
     order = np.lexsort((-score, c, q))
     q, c, score = q[order], c[order], score[order]
+    if not len(q):
+        return q, c, score
     first = np.concatenate([[True], (q[1:] != q[:-1]) | (c[1:] != c[:-1])])
     q, c, score = q[first], c[first], score[first]
     order = np.lexsort((c, -score, q))
