@@ -227,7 +227,7 @@ def test_neighbours_in_blocks(spark, here):
     rows = embeddings(900, 6, 9)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     want = nearest(rows, 5, 10)
-    here(multiprobe, SMALL=16, LARGE=16, GATHER=50)
+    here(multiprobe, BLOCK=16, GATHER=50)
     assert recall(list(map(tuple, multiprobe.search(df, 5, 10).collect())), want) >= 0.9
     here(multiprobe, PROBES=1, TARGET=1.0)
     assert recall(list(map(tuple, multiprobe.search(df, 5, 10).collect())), want) == 1.0

@@ -50,8 +50,8 @@ PROJECTIONS, WIDTHS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 20), (1.5, 2.0, 3.0)
 VISIT = 100
 #: Times all rows that a query counts which no setting's visits suffice for.
 SHORT = 10 * TABLES
-#: Rows of a block of a bucket at least and at most.
-SMALL, LARGE = 256, 8192
+#: Rows of a block of a bucket.
+BLOCK = 8192
 #: Rows of results that a task gathers before it merges them.
 GATHER = 200_000
 
@@ -341,7 +341,7 @@ def search(table: DataFrame, top: int = 20, every: int = 20) -> DataFrame:
     hashing = fit(index, queries, n, largest, top)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(partitions, -(-n * TABLES // 100_000))
-    block = min(LARGE, max(SMALL, n * TABLES // (2 * partitions)))
+    block = BLOCK  # each block gives a query its best, so blocks don't become smaller with more partitions
 
     hashes = materialise(hashed(index, hashing), "hashed")
     visits = materialise(visited(queries, hashing), "visits")
