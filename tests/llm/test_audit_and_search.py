@@ -224,10 +224,10 @@ def test_merging_nothing():
 
 def test_neighbours_in_blocks(spark, here):
     """Buckets that are dealt over a grid of blocks, and no setting that suffices."""
-    rows = embeddings(900, 6, 9)
+    rows = embeddings(400, 6, 9)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     want = nearest(rows, 5, 10)
-    here(multiprobe, BLOCK=16, GATHER=50)
+    here(multiprobe, BLOCK=64, GATHER=50)
     assert recall(list(map(tuple, multiprobe.search(df, 5, 10).collect())), want) >= 0.9
     here(multiprobe, PROBES=1, TARGET=1.0)
     assert recall(list(map(tuple, multiprobe.search(df, 5, 10).collect())), want) == 1.0
