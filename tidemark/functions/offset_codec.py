@@ -86,8 +86,8 @@ def encode(base: int, offsets: list[int], max_chars: int | None = None) -> str:
     return base64.b64encode(body + _checksum(base, body)).decode().rstrip("=")
 
 
-def decode(base: int, text: str) -> list[int]:
-    """The set, or an empty one if the text is damaged or belongs to another base."""
+def decode_runs(base: int, text: str) -> list[tuple[int, int]]:
+    """The set as (delta, times), or none if the text is damaged or belongs to another base."""
     try:
         data = base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
         if not data:
@@ -96,16 +96,22 @@ def decode(base: int, text: str) -> list[int]:
         if len(data) <= CHECKSUM_BYTES or check != _checksum(base, body) or body[0] != VERSION:
             return []
         numbers = _numbers(body[1:])
-        left, at, out = next(numbers), base, []
+        left, out = next(numbers), []
         while left > 0:
-            delta = next(numbers)
-            n = 1
+            delta, n = next(numbers), 1
             if delta == RUN_MARKER:
                 delta, n = next(numbers), next(numbers)
-            for _ in range(n):
-                at += delta
-                out.append(at)
+            out.append((delta, n))
             left -= n
         return out if left == 0 and next(numbers, None) is None else []
     except (ValueError, StopIteration):
         return []
+
+
+def decode(base: int, text: str) -> list[int]:
+    """The set, or an empty one if the text is damaged or belongs to another base."""
+    at, out = base, []
+    for delta, n in decode_runs(base, text):
+        out.extend(range(at + delta, at + delta * n + 1, delta))
+        at += delta * n
+    return out

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions import codecs, collecting, offset_codec
-from tidemark.operators import acks, flow, grouping, stateless, windowing
+from tidemark.functions import codecs, collecting
+from tidemark.operators import acks, flow, grouping, offset_sets, stateless, windowing
 from tidemark.operators.failure import emit_unless, message_has, passing
 from tidemark.plans.catalogue import _ACKS_SQL, _GROUP_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
 from tidemark.session import materialise, new_dir, ship
@@ -297,21 +297,12 @@ def grouped_rows(spark, sf):
 # Acknowledgement -----------------------------------------------------------------
 
 
-@query(f"""WITH {_ACKS_SQL} SELECT partition, "offset" FROM acks WHERE status = 'ack' AND "offset" >= 100 AND "offset" < 400 AND event_id % 3 <> 0""")
+@query(f"""WITH {_ACKS_SQL} SELECT partition, "offset" FROM acks WHERE status = 'ack' AND "offset" >= 100 AND event_id % 3 <> 0""")
 def offset_metadata(spark, sf):
     """Offsets behind 99, as the text that is committed with it and back."""
-    schema = pa.schema([("partition", pa.int32()), ("offset", pa.int64())])
-    found = _acked(spark, sf).where("status = 'ack' and offset >= 100 and offset < 400 and value.event_id % 3 <> 0")
-    per = found.groupBy("partition").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # 300 offsets at most
-    ship(spark)
-
-    def run(batches):
-        for b in batches:
-            for p, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                back = offset_codec.decode(99, offset_codec.encode(99, offsets))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(back), pa.int32()), pa.array(back, pa.int64())], schema=schema)
-
-    return per.mapInArrow(run, "partition int, offset long")
+    got = offset_sets.offset_set(_acked(spark, sf).where("status = 'ack' and value.event_id % 3 <> 0"), ["partition"], "offset")
+    bases = got.select("partition").distinct().withColumn("base", F.lit(99).cast("long"))
+    return offset_sets.from_metadata(offset_sets.metadata(got, bases, ["partition"]), ["partition"])
 
 
 @query(f"WITH {_ACKS_SQL} SELECT partition, count(*) AS position FROM acks GROUP BY partition")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import rates, windowing
-from tidemark.plans.catalogue import _TOPIC_SQL, _committed, _events, _t, _topic, query
+from tidemark.operators import offset_sets, rates, windowing
+from tidemark.plans.catalogue import _ACKS_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
 from tidemark.session import new_dir
 from tidemark.sources import log, ranges
 
@@ -108,3 +108,24 @@ def rate_changes(spark, sf):
     limits = e.select("user_id").distinct().join(F.broadcast(phases))  # five rates for each user
     got = rates.release_under_rates(e, ["user_id"], ["event_id"], arrival, limits, 1.0 + F.col("event_id") % 3, chunk=F.floor(F.col("event_id") / 2000), piece=20)
     return got.select("event_id", F.round("release_s", 3).alias("release_s"))
+
+
+# Offset sets ---------------------------------------------------------------------
+
+
+@query(f"""WITH {_TOPIC_SQL}, m AS (SELECT partition, "offset", "offset" - row_number() OVER (PARTITION BY partition ORDER BY "offset") AS island FROM topic WHERE (event_id % 3 = 0 OR event_id % 5 <> 1) AND "offset" >= 100)
+    SELECT partition, min("offset") AS "start", max("offset") AS "end" FROM m GROUP BY partition, island""")
+def offset_set_ranges(spark, sf):
+    """Ranges of the merge of two sets, from 100 on."""
+    t = _topic(spark, sf)
+    thirds, others = (offset_sets.offset_set(t.where(w), ["partition"], "offset") for w in ("value.event_id % 3 = 0", "value.event_id % 5 <> 1"))
+    return offset_sets.ranges(offset_sets.minimum_merged(thirds, others, ["partition"], F.lit(100)), ["partition"])
+
+
+@query(f"WITH {_ACKS_SQL} SELECT partition, status, event_id % 3 = 0 AS again, count(*) AS n FROM acks GROUP BY ALL")
+def offset_set_restart(spark, sf):
+    """Records that a restart reads again, by the set of those that were done before it."""
+    rows = _acked(spark, sf)
+    done = offset_sets.offset_set(rows.where("value.event_id % 3 <> 0"), ["partition"], "offset")
+    known = offset_sets.with_membership(rows, done, ["partition"], "offset", "known")
+    return known.groupBy("partition", "status", (~F.col("known")).alias("again")).agg(F.count(F.lit(1)).alias("n"))
