@@ -15,7 +15,7 @@ from tidemark.operators import acks, flow, grouping, offset_sets, stateless, win
 from tidemark.operators.failure import emit_unless, message_has, passing
 from tidemark.plans.catalogue import _ACKS_SQL, _GROUP_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
 from tidemark.session import materialise, new_dir, ship
-from tidemark.sources import kafka, queues, ranges, sinks, topics
+from tidemark.sources import commit_log, kafka, queues, ranges, sinks, topics
 from tidemark.streaming import commits, config, running, stateful
 
 
@@ -93,6 +93,34 @@ def source_stream_transactional(spark, sf):
     return counted.join(table.offsets(spark).groupBy("partition").agg(F.max("position").alias("position")), "partition")
 
 
+@query("SELECT user_id % 4 AS partition, count(*) AS n, max(event_id) + 1 AS position FROM events GROUP BY ALL")
+def source_stream_logged(spark, sf):
+    """A stream into a commit log. The first producer's late commit, an aborted batch and a repeated one leave nothing."""
+    table = commit_log.CommitLog(spark, new_dir(spark, "commit-log"))
+    before = table.producer("copy")
+    zombie = before.begin(0)
+    zombie.write(_t(spark, sf, "events").select("event_id", (F.col("user_id") % 4).alias("partition")))
+    now = table.producer("copy")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = df.select("event_id", (F.col("user_id") % 4).alias("partition"))
+        offsets = rows.groupBy("partition").agg((F.max("event_id") + 1).alias("position"))
+        given_up = now.begin(batch_id)
+        given_up.write(rows)
+        given_up.abort()
+        assert now.write(rows, batch_id, offsets)
+        assert not now.write(rows, batch_id, offsets)
+
+    _finished(_stream(spark, sf), batch)
+    try:
+        zombie.commit()
+        raise AssertionError("a replaced producer committed")
+    except commit_log.Fenced:
+        zombie.abort()
+    counted = table.rows().groupBy("partition").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(table.offsets().groupBy("partition").agg(F.max("position").alias("position")), "partition")
+
+
 @query(f"""WITH {_TOPIC_SQL} SELECT topic, partition, "offset", CAST(user_id AS VARCHAR) AS key, event_type AS value, 'h' || event_id AS header FROM topic""")
 def source_kafka_records(spark, sf):
     """The connector's columns, built from the topic, through the record plan."""
