@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import offset_sets, rates, windowing
+from tidemark.operators import latency, offset_sets, rates, windowing
 from tidemark.plans.catalogue import _ACKS_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
 from tidemark.session import new_dir
 from tidemark.sources import log, ranges
@@ -129,3 +129,21 @@ def offset_set_restart(spark, sf):
     done = offset_sets.offset_set(rows.where("value.event_id % 3 <> 0"), ["partition"], "offset")
     known = offset_sets.with_membership(rows, done, ["partition"], "offset", "known")
     return known.groupBy("partition", "status", (~F.col("known")).alias("again")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Durations -----------------------------------------------------------------------
+
+
+@query(f"""WITH {_ACKS_SQL} SELECT partition, status, count(*) AS n, max(epoch_us(ack_ts) - epoch_us(ts)) / 1000000.0 AS max_s, true AS p50_holds, true AS p99_holds FROM acks GROUP BY ALL""")
+def settle_quantiles(spark, sf):
+    """Median and 99th percentile of settlements, sketched by day and rolled up; whether their exact ranks are within the bound."""
+    rows = _acked(spark, sf).withColumn("s", latency.seconds(F.col("timestamp"), F.col("ack_ts")))
+    days = latency.sketches(rows, ["partition", "status", F.to_date("timestamp").alias("day")], F.col("s"))
+    got = latency.quantiles(latency.rolled_up(days, ["partition", "status"]), p50=0.5, p99=0.99).drop(latency.SKETCH)
+    # one row for each partition and status
+    ranked = rows.select("partition", "status", "s").join(F.broadcast(got), ["partition", "status"])
+    holds = [
+        (F.greatest(F.lit(0), F.avg((F.col("s") < F.col(p)).cast("int")) - q, q - F.avg((F.col("s") <= F.col(p)).cast("int"))) <= 2 * latency.rank_error()).alias(f"{p}_holds")
+        for p, q in (("p50", 0.5), ("p99", 0.99))
+    ]
+    return ranked.groupBy("partition", "status", "n", "max_s").agg(*holds)
