@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.operators import latency, offset_sets, rates, windowing
+from tidemark.operators import latency, offset_sets, rates, traces, windowing
 from tidemark.plans.catalogue import _ACKS_SQL, _TOPIC_SQL, _acked, _committed, _events, _t, _topic, query
 from tidemark.session import new_dir
 from tidemark.sources import log, ranges
@@ -147,3 +148,25 @@ def settle_quantiles(spark, sf):
         for p, q in (("p50", 0.5), ("p99", 0.99))
     ]
     return ranked.groupBy("partition", "status", "n", "max_s").agg(*holds)
+
+
+# Traces --------------------------------------------------------------------------
+
+
+@query("""
+    WITH RECURSIVE s AS MATERIALIZED (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ts + to_seconds((event_id * 7919) % 600) AS moment, (event_id * 7919) % 600 AS cost FROM events),
+    edges AS (SELECT a.event_id, b.event_id AS before, b.moment FROM s AS a JOIN s AS b ON a.user_id = b.user_id AND a.n % 40 <> 1 AND ((a.n % 4 = 0 AND b.n BETWEEN a.n - 3 AND a.n - 1) OR (a.n % 4 <> 0 AND b.n = a.n - 1))),
+    best AS MATERIALIZED (SELECT event_id, before FROM edges QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY moment DESC, before) = 1),
+    walk AS (SELECT event_id, event_id AS reached, 0::BIGINT AS depth, cost::BIGINT AS path_cost FROM s UNION ALL
+             SELECT walk.event_id, best.before, depth + 1, path_cost + s.cost FROM walk JOIN best ON best.event_id = walk.reached JOIN s ON s.event_id = best.before)
+    SELECT walk.event_id, reached AS root, depth, path_cost FROM walk LEFT JOIN best ON best.event_id = walk.reached WHERE best.event_id IS NULL""")
+def trace_paths(spark, sf):
+    """A user's events as spans: each goes on from the one before, every fourth is a batch of three, every fortieth begins a trace."""
+    e = F.col("event_id")
+    cost = F.pmod(e * 7919, F.lit(600))
+    # a user's events, not all of them, are one order
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    rows = _events(spark, sf).select("user_id", e.alias("span"), (F.unix_micros(F.col("ts").cast("timestamp")) + cost * 1_000_000).alias("end"), cost.alias("cost"), F.row_number().over(own).alias("n"), *[F.lag("event_id", k).over(own).alias(f"b{k}") for k in (1, 2, 3)])
+    batch = F.when(F.col("n") % 4 == 0, F.array("b1", "b2", "b3")).otherwise(F.array("b1"))
+    edges = rows.where("n % 40 <> 1").select("span", F.explode(batch).alias("before")).where("before is not null")
+    return traces.paths(rows, traces.waited_for(rows, edges)).withColumnRenamed("span", "event_id")
