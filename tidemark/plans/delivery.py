@@ -231,7 +231,8 @@ def send_folder_sink(spark, sf):
     folder = _local(spark, "queue")
     rows = sinks.outgoing(_events(spark, sf), F.lit("t"), F.col("user_id"), F.when(F.col("event_type") == "error", F.col("event_type")), "event_type")
     done = sinks.settle(sinks.send(rows, sinks.folder_sink(folder), "delegate"))
-    assert len(queues.FileQueue(folder).names()) == done.where("_ack = 'ack'").count()
+    queues.register(spark)
+    assert spark.read.format("tidemark_queue").option("path", folder).load().count() == done.where("_ack = 'ack'").count()
     return done.groupBy("event_type").agg(F.count(F.lit(1)).alias("sent"), F.count_if(F.col("_ack") == "ack").alias("queued"))
 
 

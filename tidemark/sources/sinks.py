@@ -4,6 +4,9 @@ A sink is a function from an iterator of row dictionaries to an iterator of erro
 (null for sent). It runs on executors over Arrow batches. Modes: ``immediate`` fails at the
 first error; ``delegate`` returns errors as results; ``delay`` sends everything and then
 raises the first error. ``transactional`` writes batches that appear whole or not at all.
+
+A sink may have ``buffered``, which gives a task a sink of its own that holds what it is given until ``flush``. A
+task flushes before it returns results, so a result still means that its row was sent.
 """
 
 from __future__ import annotations
@@ -40,14 +43,19 @@ def _results(df: DataFrame, sink: Sink, batch: int, stop: bool) -> DataFrame:
     names = df.columns
 
     def run(batches):
+        buffered = getattr(sink, "buffered", None)
+        own = buffered() if buffered else sink
+        flush = own.flush if buffered else lambda: None
         for b in batches:
             rows = b.to_pylist()
             errors: list[str | None] = []
             for k in range(0, len(rows), max(1, batch)):
-                got = list(sink(iter(rows[k : k + max(1, batch)])))
+                got = list(own(iter(rows[k : k + max(1, batch)])))
                 if stop and (bad := next((e for e in got if e is not None), None)) is not None:
+                    flush()
                     raise SendError(bad)
                 errors += got
+            flush()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(errors, pa.string())], names=[*names, ERROR])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(ERROR, StringType())]))
@@ -73,6 +81,38 @@ def acknowledge_all(df: DataFrame) -> DataFrame:
     return df.withColumn("_ack", F.lit("ack"))
 
 
+class _FolderSink:
+    """A task's rows for a file queue, published as pages."""
+
+    def __init__(self, plan: str, folder: str, body: str, seen: Counter | None = None):
+        from pyspark import TaskContext
+
+        from tidemark.sources.queues import FileQueue
+
+        task = TaskContext.get()
+        self.part = f"{plan}-{task.partitionId() if task else 0}"
+        self.queue, self.body, self.seen = FileQueue(folder), body, Counter() if seen is None else seen
+        self.held: list = []
+
+    def __call__(self, rows):
+        from tidemark.sources.queues import Message, row_token
+
+        for r in rows:
+            if r[self.body] is None:
+                yield "null body"
+                continue
+            text, key = str(r[self.body]), None if r.get("key") is None else str(r["key"])
+            token = row_token(self.part, text, key, self.seen[text, key])
+            self.seen[text, key] += 1
+            self.held.append(Message(text, group_id=key, dedup_id=token))
+            yield None
+
+    def flush(self) -> None:
+        if self.held:
+            self.queue.publish([self.queue.stage(iter(self.held))])
+            self.held = []
+
+
 def folder_sink(folder: str, body: str = "value") -> Sink:
     """Sends each row to a file queue; a null body is an error.
 
@@ -85,22 +125,15 @@ def folder_sink(folder: str, body: str = "value") -> Sink:
     def run(rows):
         from pyspark import TaskContext
 
-        from tidemark.sources.queues import FileQueue, Message, row_token
-
-        q, task = FileQueue(folder), TaskContext.get()
-        part = task.partitionId() if task else 0
-        # batches of one attempt go on counting
-        seen = counted.setdefault((part, task.taskAttemptId() if task else 0), Counter())
-        for r in rows:
-            if r[body] is None:
-                yield "null body"
-                continue
-            text, key = str(r[body]), None if r.get("key") is None else str(r["key"])
-            token = row_token(f"{plan}-{part}", text, key, seen[text, key])
-            seen[text, key] += 1
-            q.send(Message(text, group_id=key, dedup_id=token))
-            yield None
+        task = TaskContext.get()
+        # calls of one attempt go on counting
+        seen = counted.setdefault((task.partitionId(), task.taskAttemptId()) if task else (0, 0), Counter())
+        own = _FolderSink(plan, folder, body, seen)
+        errors = list(own(rows))
+        own.flush()
+        yield from errors
 
+    run.buffered = lambda: _FolderSink(plan, folder, body)
     return run
 
 
