@@ -1,7 +1,10 @@
 """Stateful streams keep types and nulls; acknowledgement as a stream equals that of tables under any batching."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +69,84 @@ def test_frontier_stream(spark, tmp_path, mode, batches):
     assert len(found) == len(want)
     assert {(r.key, r["offset"]): (r.status, r.settled, r.executed, r.collapsed, r.freed) for r in found} == want
     assert mode == acks.STRICT or any(r.collapsed for r in found)
+
+
+class Held:
+    """A state of the store, in memory."""
+
+    def __init__(self):
+        self.map, self.calls = {}, 0
+
+    def exists(self):
+        return None in self.map
+
+    def get(self):
+        return self.map[None]
+
+    def update(self, value):
+        self.map[None] = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.map[key]
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self.states.setdefault(name, Held())
+
+    getMapState = getValueState  # noqa: N815
+
+
+def settled(parts, compact):
+    """What a processor gives out for a key's batches, each some frames of signals."""
+    processor, handle = stateful.AcknowledgementProcessor(compact), Handle()
+    processor.init(handle)
+    for frames in parts:
+        for frame in processor.handleInputRows(("k",), iter(frames), None):
+            yield frame
+    assert all(len(handle.states[name].map) < 3000 for name in ("open", "last_of", "settled"))
+
+
+def signals(n):
+    rng = np.random.default_rng(4)
+    at = np.concatenate([np.arange(n), np.arange(n) + rng.integers(1, 600, n)])
+    status = np.where(rng.integers(0, 50, n) == 0, "nack", "ack").astype(object)
+    frame = pd.DataFrame({"at": at, "offset": np.tile(np.arange(n), 2), "status": np.concatenate([np.full(n, None, object), status])})
+    return frame.sort_values("at", kind="stable", ignore_index=True)
+
+
+def test_acknowledgement_holds_what_is_open():
+    """A batch's signals are held as numbers, and of its records only the open ones."""
+    frame = signals(150_000)
+    frames = [frame[k : k + 10_000] for k in range(0, len(frame), 10_000)][::-1]
+    tracemalloc.start()
+    rows = sum(len(out) for out in settled([frames], True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 150_000
+    assert peak < 100 * len(frame)
+
+
+@pytest.mark.parametrize("compact", [False, True])
+def test_acknowledgement_in_pieces(monkeypatch, compact):
+    """What goes to the store within a batch, and how many signals are taken together, changes nothing."""
+    frame = signals(2000)
+    want = pd.concat(settled([[frame]], compact), ignore_index=True)
+    assert len(want) == 2000
+    monkeypatch.setattr(stateful, "AT_ONCE", 37)
+    monkeypatch.setattr(stateful, "HELD", 50)
+    got = pd.concat(settled([[frame[k : k + 500]] for k in range(0, len(frame), 500)], compact), ignore_index=True)
+    assert got.equals(want)
