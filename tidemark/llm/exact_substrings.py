@@ -12,10 +12,12 @@ is judged on the input. Equal windows are found by suffix sorting with common pr
    sf0.1 it settles 57 % of the removed bytes, most of them in exact copies of documents.
    Each worker settles this among ``BUFFER`` segments before anything is shuffled, then it is
    settled for all, in one pass over sorted rows that holds a single row.
-3. Segments whose hash has no other content, and that hash only once inside, repeat nothing.
+3. Segments whose hash has no other content, and its first string in all windows, repeat nothing.
    The others get their bytes and go to a shard by the hash; there the suffixes of
    ``SHARD`` bytes or more of whole groups are sorted, and runs of common prefixes of 100
-   or more are equal windows.
+   or more are equal windows. Equal windows have the string of the least hash at equal places, so
+   a segment's bytes further from it than those that another segment shares are left out
+   before (half of all bytes); a segment without enough shared bytes has no equal window.
 4. A group of over ``HOT`` different segments (the borders of a passage in very many
    documents) is dealt more finely before it is sorted: its windows by where the string of
    the least hash lies in them, to within 16, then 4, then 1 byte, and by the bytes that all windows of
@@ -38,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,26 +51,27 @@ from tidemark.session import materialise
 LENGTH, KEY = 100, 40
 WIDTH = LENGTH - KEY + 1
 BUFFER, HOT, SHARD = 100_000, 2000, 3 << 20
+#: Bytes of texts that are hashed at once.
+PORTION = 1 << 17
 #: Widths of the classes that hot groups are dealt by, one after another.
 CLASSES = (16, 4, 1)
 #: A hash is common if it has so many segments in a sample of this part; at most so many hashes are treated so.
 SAMPLE, COMMON, MOST_COMMON = 1 / 64, 32, 10_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-# multi: bit 0, the least hash occurs twice inside; bit 1, the group is known to have other contents;
-# above, one more than the place of the least hash's string, for segments of a class; -1: later as a whole
+# multi: bit 0, the first string of the least hash is not in all windows; bit 1, the group is known to have other
+# contents; above, one more than the place of that string, if it is in all windows; -1: later as a whole
 SEGMENTS = "part long, mh long, ch long, did long, th long, start int, len int, multi int"
 STATES = "kind int, mh long, did long, th long, start int, len int, multi int"
-PIECES = "part long, did long, th long, start int, bytes binary"
+PIECES = "part long, did long, th long, start int, at int, bytes binary"
 CUTS = "did long, th long, start int, len int"
 
 
 def key_hashes(x: np.ndarray) -> np.ndarray:
     """A hash of the ``KEY`` bytes from each place on, eight bytes at a time."""
     n = len(x) - KEY + 1
-    u = np.zeros(len(x) - 7, np.uint64)
-    for j in range(8):
-        u |= x[j : len(x) - 7 + j].astype(np.uint64) << np.uint64(8 * j)
+    x = np.ascontiguousarray(x)
+    u = np.ndarray(len(x) - 7, "<u8", x.data, 0, (1,)).astype(np.uint64)
     h = np.zeros(n, np.uint64)
     for at in range(0, KEY, 8):
         h ^= u[at : at + n]
@@ -86,32 +90,56 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def segments(text: bytes) -> list[tuple[int, int, int, int, int]]:
-    """(least hash, content hash, start, length, whether the least hash occurs twice inside)."""
+def portions(texts: list[bytes]) -> Iterator[list[int]]:
+    """Numbers of the texts that have a window, some ``PORTION`` bytes at a time."""
+    at, size = [], 0
+    for k, t in enumerate(texts):
+        if len(t) >= LENGTH:
+            at.append(k)
+            size += len(t)
+            if size >= PORTION:
+                yield at
+                at, size = [], 0
+    if at:
+        yield at
+
+
+def segments_of(texts: list[bytes], contents: bool = True) -> Iterator[np.ndarray]:
+    """Columns least hash, content hash, number of the text, start, length and multi of the segments; many texts at once."""
     import xxhash
 
-    if len(text) < LENGTH:
-        return []
-    h = key_hashes(np.frombuffer(text, np.uint8))
-    width = WIDTH
-    m = sliding_min(h, width)
-    cut = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1, [len(m)]])
-    first, end = cut[:-1], cut[1:]
-    # places that are the least of a window; a segment has its own once, unless it repeats
-    spots = np.flatnonzero(h[: len(m)] == m)
-    back = np.flatnonzero(h[width - 1 :] == m) + width - 1
-    spots = np.union1d(spots, back)
-    places = np.sort(spots)
-    same = h[places]
-    multi = np.zeros(len(first), bool)
-    lo, hi = np.searchsorted(places, first), np.searchsorted(places, end + width - 1)
-    few = hi - lo
-    for k in np.flatnonzero(few > 1).tolist():
-        multi[k] = np.count_nonzero(same[lo[k] : hi[k]] == m[first[k]]) > 1
-    keys = m[first].view(np.int64).tolist()
     digest = xxhash.xxh3_64_intdigest
-    sign = 1 << 63
-    return [(k, (digest(text[a : e + LENGTH - 1]) ^ sign) - sign, a, e - a + LENGTH - 1, int(r)) for k, a, e, r in zip(keys, first.tolist(), end.tolist(), multi.tolist(), strict=True)]
+    for which in portions(texts):
+        sizes = np.array([len(texts[k]) for k in which], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        joined = b"".join([texts[k] for k in which])
+        h = key_hashes(np.frombuffer(joined, np.uint8))
+        m = sliding_min(h, WIDTH)
+        # windows over two texts are left out below, so their hashes don't matter
+        new = np.concatenate([[True], m[1:] != m[:-1]])
+        new[begin] = True
+        past = begin + sizes - LENGTH + 1
+        new[past[:-1]] = True
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(m))
+        of = np.searchsorted(begin, first, side="right") - 1
+        inside = first < past[of]
+        first, end, of = first[inside], end[inside], of[inside]
+        mh = m[first]
+        # the first place of the least hash: where it came in, the last of the first window, else looked for
+        place = first + WIDTH - 1
+        look = np.flatnonzero((first == begin[of]) | (mh > m[first - 1]))
+        place[look] = first[look] + (np.lib.stride_tricks.sliding_window_view(h, WIDTH)[first[look]] == mh[look, None]).argmax(axis=1)
+        # windows past that place have the hash from another one
+        again = place < end - 1
+        size = end - first + LENGTH - 1
+        ch = np.array([digest(joined[a:e]) for a, e in zip(first.tolist(), (first + size).tolist(), strict=True)] if contents else np.zeros(len(first)), np.uint64)
+        yield np.stack([mh.view(np.int64), ch.view(np.int64), np.array(which, np.int64)[of], first - begin[of], size, np.where(again, 1, (place - first + 1) << 2)])
+
+
+def segments(text: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(least hash, content hash, start, length, multi) of one text's segments."""
+    return [tuple(s) for found in segments_of([text]) for s in found[[0, 1, 3, 4, 5]].T.tolist()]
 
 
 def finer(piece: bytes, start: int, key: int, at: int, width: int) -> list[tuple[int, int, int, int, int]]:
@@ -166,9 +194,9 @@ def common_hashes(rows: DataFrame) -> np.ndarray:
 
     def run(batches):
         for b in slices(batches):
-            found = [s[0] for t in utf8(b.column(0)) for s in segments(t)]
+            found = [s[0] for s in segments_of(utf8(b.column(0)), False)]
             if found:
-                mh, n = np.unique(np.array(found, np.int64), return_counts=True)
+                mh, n = np.unique(np.concatenate(found), return_counts=True)
                 yield batch(schema, mh=pa.array(mh), n=pa.array(n))
 
     counted = arrow_map(rows.sample(SAMPLE, seed=11).select("text"), run, "mh long, n long").groupBy("mh").agg(F.sum("n").alias("n"))
@@ -176,9 +204,15 @@ def common_hashes(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.mh for r in most.collect()], np.int64))
 
 
-def _settled(held: list[tuple], schema: pa.Schema, common: np.ndarray | None) -> pa.RecordBatch:
+def _settled(held: list[np.ndarray], schema: pa.Schema, common: np.ndarray | None) -> pa.RecordBatch:
     """Segments with what is known to be later marked; ``common``: hashes dealt by content, None for all."""
-    got, later = _later(np.array(held, np.int64).T.copy(), 2)
+    got = np.concatenate(held, axis=1)
+    got = got[:, np.argsort(got[1], kind="stable")]
+    twice = np.concatenate([[False], got[1, 1:] == got[1, :-1], [False]])
+    some = np.flatnonzero(twice[1:] | twice[:-1])
+    later = np.zeros(got.shape[1], bool)
+    if len(some):
+        got[:, some], later[some] = _later(got[:, some], 2)
     by_content = np.ones(got.shape[1], bool) if common is None else np.isin(got[0], common)
     got[6, by_content] |= 2
     got[6, later] = -1
@@ -192,13 +226,16 @@ def segment_rows(rows: DataFrame, common: np.ndarray) -> DataFrame:
     schema = _schema(SEGMENTS)
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
+        n = 0
         for b in slices(batches):
-            for did, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                held.extend((m, c, did, th, a, n, r) for m, c, a, n, r in segments(t))
-                if len(held) >= BUFFER:
+            place = _numpy(b, 2)
+            for mh, ch, of, *more in segments_of(utf8(b.column(2))):
+                held.append(np.stack([mh, ch, *place[:, of], *more]))
+                n += len(mh)
+                if n >= BUFFER:
                     yield _settled(held, schema, common)
-                    held = []
+                    held, n = [], 0
         if held:
             yield _settled(held, schema, common)
 
@@ -223,10 +260,10 @@ def finer_rows(rows: DataFrame, hot: DataFrame, width: int) -> DataFrame:
                     a = x["start"]
                     held.extend((k, c, did, th, p, n, m) for k, c, p, n, m in finer(t[a : a + x["len"]], a, x["mh"], (x["multi"] >> 2) - 1, width))
                 if len(held) >= BUFFER:
-                    yield _settled(held, schema, None)
+                    yield _settled([np.array(held, np.int64).T], schema, None)
                     held = []
         if held:
-            yield _settled(held, schema, None)
+            yield _settled([np.array(held, np.int64).T], schema, None)
 
     return arrow_map(with_bytes(rows, hot), run, SEGMENTS)
 
@@ -263,7 +300,7 @@ def segment_states(segment: DataFrame) -> DataFrame:
                 group_of = np.cumsum(group)
                 most = np.zeros(group_of[-1] + 1, np.int64)
                 np.maximum.at(most, group_of, nth)
-                needed = (most[group_of[firsts]] > 0) | (rows[6, firsts] > 0)
+                needed = (most[group_of[firsts]] > 0) | (rows[6, firsts] & 3 > 0)
                 fresh = firsts[needed & ~(told & (firsts == 0))]
                 out.append(np.stack([np.ones(len(fresh), np.int64), *rows[kept][:, fresh]]))
                 lead = rows[:, first[-1]].copy()
@@ -303,7 +340,7 @@ def piece_rows(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, 200):
-            out = [(x["mh"], did, th, x["start"], t[x["start"] : x["start"] + x["len"]]) for did, th, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist(), strict=True) for x in asked]
+            out = [(x["mh"], did, th, x["start"], (x["multi"] >> 2) - 1, t[x["start"] : x["start"] + x["len"]]) for did, th, t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist(), strict=True) for x in asked]
             if out:
                 yield batch(schema, **dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True)))
 
@@ -351,6 +388,48 @@ def sort_shard(pieces: list[tuple[int, int, int, bytes]], memory: int | None = N
     yield later(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
+def _shared(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The most leading bytes that each row shares with another one of its group."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    order = np.lexsort((*wide.view(">u8").T[::-1], group))
+    wide, group = wide[order], group[order]
+    other = np.ones((len(rows) - 1, wide.shape[1] + 1), bool)
+    other[:, :-1] = wide[1:] != wide[:-1]
+    same = np.where(group[1:] == group[:-1], other.argmax(axis=1), 0)
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.maximum(np.append(0, same), np.append(same, 0))
+    return out
+
+
+def shared_parts(pieces: list[tuple[int, int, int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """(did, th, start, bytes) of what has to be sorted of whole groups of (part, did, th, start, at, bytes).
+
+    ``at``: the place of the string of the least hash, the first in all windows of the piece, or -1 if there is
+    no such place. Equal windows have that string at equal places, so they reach no further from it than
+    the bytes before it, and those after it, are shared with another piece of the group.
+    """
+    part = np.array([p[0] for p in pieces], np.int64)
+    at = np.array([p[4] for p in pieces], np.int64)
+    size = np.array([len(p[5]) for p in pieces], np.int64)
+    text = np.frombuffer(b"".join(p[5] for p in pieces), np.uint8)
+    begin = np.cumsum(size) - size
+    # a piece without such a place may share any of its windows with any other of its group
+    fixed = ~np.isin(part, part[at < 0])
+    low, high = np.zeros(len(pieces), np.int64), size.copy()
+    k = np.flatnonzero(fixed)
+    if len(k):
+        step = np.arange(WIDTH - 1)
+        before, behind = at[k, None] - 1 - step, at[k, None] + KEY + step
+        back = np.where(before >= 0, text[begin[k, None] + np.maximum(before, 0)], 0)
+        ahead = np.where(behind < size[k, None], text[begin[k, None] + np.minimum(behind, size[k, None] - 1)], 0)
+        # what lies beyond a piece is 0, which only makes more of it be kept
+        low[k] = np.maximum(0, at[k] - _shared(part[k], back).clip(max=WIDTH - 1))
+        high[k] = np.minimum(size[k], at[k] + KEY + _shared(part[k], ahead).clip(max=WIDTH - 1))
+    some = np.flatnonzero(high - low >= LENGTH)
+    return [(did, th, start + a, piece[a:e]) for (_, did, th, start, _, piece), a, e in zip((pieces[i] for i in some.tolist()), low[some].tolist(), high[some].tolist(), strict=True)]
+
+
 def window_cuts(pieces: DataFrame) -> DataFrame:
     """Runs of later windows (did, th, start, len in bytes) among the pieces."""
     schema = _schema(CUTS)
@@ -366,21 +445,24 @@ def window_cuts(pieces: DataFrame) -> DataFrame:
         last = np.concatenate([at[1:], [p.shape[1]]]) - 1
         yield batch(schema, did=pa.array(p[0, at]), th=pa.array(p[1, at]), start=pa.array(p[2, at].astype(np.int32)), len=pa.array((p[2, last] - p[2, at] + LENGTH).astype(np.int32)))
 
+    def cuts(shard: list[tuple]):
+        shared = shared_parts(shard)
+        for found in sort_shard(shared) if shared else ():
+            yield from out(found)
+
     def run(batches):
-        shard: list[tuple[int, int, int, bytes]] = []
+        shard: list[tuple[int, int, int, int, int, bytes]] = []
         size, part = 0, None
         for b in batches:
-            for mine, *piece in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if size >= SHARD and mine != part:
-                    for found in sort_shard(shard):
-                        yield from out(found)
+            for piece in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if size >= SHARD and piece[0] != part:
+                    yield from cuts(shard)
                     shard, size = [], 0
-                part = mine
-                shard.append(tuple(piece))
-                size += len(piece[3])
+                part = piece[0]
+                shard.append(piece)
+                size += len(piece[-1])
         if shard:
-            for found in sort_shard(shard):
-                yield from out(found)
+            yield from cuts(shard)
 
     return arrow_map(dealt, run, CUTS)
 
@@ -393,20 +475,31 @@ def byte_cuts(docs: DataFrame) -> DataFrame:
     return settled.select("did", "th", "start", "len").unionByName(cuts)
 
 
-def cut_bytes(text: bytes, cuts: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the maximal removed runs."""
-    runs: list[tuple[int, int]] = []
-    for a, b in sorted((c["start"], c["start"] + c["len"]) for c in cuts or ()):
-        if runs and a <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], b))
-        else:
-            runs.append((a, b))
+def removed_runs(cuts: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """The maximal removed runs (start, end) of each row's list of cuts (start, len); null is none."""
+    counts = pc.fill_null(pc.list_value_length(cuts), 0).to_numpy()
+    flat = cuts.flatten()
+    start, size = (flat.field(n).to_numpy().astype(np.int64) for n in ("start", "len"))
+    # a row's places are all below the next row's
+    row = np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32
+    begin, end = row + start, row + start + size
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(begin)), bool), begin[1:] > end[:-1]]))
+    begin, end = begin[new], end[np.append(new[1:], len(end)) - 1] if len(new) else end
+    edges = np.searchsorted(begin, np.arange(len(counts) + 1, dtype=np.int64) << 32)
+    runs = list(zip((begin & 0xFFFFFFFF).tolist(), (end & 0xFFFFFFFF).tolist(), strict=True))
+    return [runs[a:e] for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def cut_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What is left of a text without the runs."""
     kept, at = [], 0
     for a, b in runs:
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return b"".join(kept), runs
+    return b"".join(kept)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -418,8 +511,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             texts = utf8(b.column(1))
-            done = [cut_bytes(t, c) for t, c in zip(texts, b.column(2).to_pylist(), strict=True)]
-            yield batch(schema, doc_id=b.column(0), n_bytes=list(map(len, texts)), n_removed=[len(t) - len(k) for t, (k, _) in zip(texts, done, strict=True)], n_spans=[len(r) for _, r in done], kept_sha256=[hashlib.sha256(k).hexdigest() for k, _ in done], kept=[k for k, _ in done])
+            runs = removed_runs(b.column(2))
+            kept = [cut_bytes(t, r) for t, r in zip(texts, runs, strict=True)]
+            yield batch(schema, doc_id=b.column(0), n_bytes=list(map(len, texts)), n_removed=[len(t) - len(k) for t, k in zip(texts, kept, strict=True)], n_spans=list(map(len, runs)), kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept], kept=kept)
 
     return arrow_map(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
