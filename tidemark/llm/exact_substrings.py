@@ -17,7 +17,7 @@ is judged on the input. Equal windows are found by suffix sorting with common pr
    ``SHARD`` bytes or more of whole groups are sorted, and runs of common prefixes of 100
    or more are equal windows. Equal windows have the string of the least hash at equal places, so
    a segment's bytes further from it than those that another segment shares are left out
-   before (half of all bytes); a segment without enough shared bytes has no equal window.
+   before; a segment without enough shared bytes has no equal window.
 4. A group of over ``HOT`` different segments (the borders of a passage in very many
    documents) is dealt more finely before it is sorted: its windows by where the string of
    the least hash lies in them, to within 16, then 4, then 1 byte, and by the bytes that all windows of
